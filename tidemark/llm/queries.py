@@ -21,5 +21,17 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op8_quality)}
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    return encode_decode(_table(spark, sf_dir, "documents"))
+
+
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_file import token_file
+
+    return token_file(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op7_bpe, op8_quality, op10_token_file)}
 ORACLE_SQL: dict[str, str] = {}
