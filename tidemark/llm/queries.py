@@ -33,5 +33,17 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op7_bpe, op8_quality, op10_token_file)}
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_language, op7_bpe, op8_quality, op9_toxicity, op10_token_file)}
 ORACLE_SQL: dict[str, str] = {}
