@@ -150,3 +150,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
             df = written(df, "decontaminate")
         part = following
     return df
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that aren't contaminated. Rows that share a doc_id go together."""
+    found = written(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

@@ -23,13 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .text import map_rows, utf8
+from .text import keep_rows, map_rows
 
 PROFILE = 400
 TRAIN_PER_LANG = 4000
 HOLD_OUT_OF, HOLD_OUT = 4, 2
 UNKNOWN = "und"
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
+#: A document below this score is like no profile; texts in a learned language lie far above it.
+MIN_SCORE = 0.2
 _SPACE = 32
 
 
@@ -135,3 +137,19 @@ def identify(docs: DataFrame, rows: list[tuple[str, int, int]] | None = None) ->
         return work
 
     return map_rows(docs.select("doc_id", "text", held_out(HOLD_OUT_OF, HOLD_OUT)), SCHEMA, start)
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, lang, ...) whose text is in a learned language."""
+    sent = docs.sparkSession.sparkContext.broadcast(train(docs))
+
+    def start():
+        profiles = Profiles(sent.value)
+
+        def keep(texts):
+            found = [profiles.predict(t) for t in texts]
+            return [lang != UNKNOWN and score >= MIN_SCORE for lang, score in found]
+
+        return keep
+
+    return keep_rows(docs, ["text"], start)

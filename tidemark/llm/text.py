@@ -38,8 +38,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "500")
 
 
-def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict[str, list]]]) -> DataFrame:
-    """df through start()(column lists...) -> column lists, batch by batch; start runs once in each task."""
+def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict[str, list]]], arrow: bool = False) -> DataFrame:
+    """df through start()(column lists...) -> column lists, batch by batch; start runs once in each task. arrow: arrays instead of lists go in."""
     small_batches(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
@@ -49,7 +49,19 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = start()
         for batch in batches:
-            got = work(*(c.to_pylist() for c in batch.columns))
+            got = work(*(c if arrow else c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
 
     return df.mapInArrow(run, schema)
+
+
+def keep_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[..., list[bool]]]) -> DataFrame:
+    """The rows of df, with all its columns, for which start()(column lists...) says True. No shuffle: rows stay where they are."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            yield batch.filter(pa.array(keep(*(batch.column(c).to_pylist() for c in columns)), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

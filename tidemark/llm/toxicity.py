@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from .langid import held_out
-from .text import map_rows
+from .text import keep_rows, map_rows
 
 TRAIN_DOCS = 20_000
 FEATURES = 3000
@@ -84,7 +84,7 @@ class NoisyOr:
         return float(-np.expm1(-np.logaddexp(0, logit).sum()))
 
 
-def fit(data: list[tuple[int, dict[tuple[int, ...], int]]], n: int, rounds: int = 400, rate: float = 0.1, l2: float = 1e-4) -> tuple[np.ndarray, float]:
+def fit(data: list[tuple[int, dict[tuple[int, ...], int]]], n: int, rounds: int = 600, rate: float = 0.1, l2: float = 1e-6) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the documents' log-loss. data: label, and how often each set of features is a sentence."""
     doc, count, rows, cols = [], [], [], []
     for d, (_, sents) in enumerate(data):
@@ -168,6 +168,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, model: NoisyOr | N
     return map_rows(docs.select("doc_id", "text", held_out(HOLD_OUT_OF, HOLD_OUT)), SCHEMA, start)
 
 
+def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that aren't predicted toxic."""
+    model = train(docs, labels)
+    sent = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias))
+
+    def start():
+        own = NoisyOr(*sent.value)
+        return lambda texts: [own.score(t) < TOXIC_AT for t in texts]
+
+    return keep_rows(docs, ["text"], start)
+
+
 def sentences(docs: DataFrame, model: NoisyOr, at: float = 0.5) -> DataFrame:
     """The offending sentences: doc_id, start and end (code points), score."""
     sent = docs.sparkSession.sparkContext.broadcast((model.names, model.weights, model.bias))
