@@ -50,10 +50,10 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed,small", [(1, False), (2, True)])
+@pytest.mark.parametrize("seed,small", [(1, False), (2, True), (3, True)])
 def test_components_equal_brute_force(spark, monkeypatch, seed, small):
     if small:  # short lists count as long: contraction, dealing over parts and visits are all used
-        for name, value in (("LIST_ROWS", 4), ("STAR", 3), ("HOT_IN_TASK", 2), ("BLOCK_PAIRS", 10)):
+        for name, value in (("LIST_ROWS", 4), ("STAR", 3), ("HOT_MIN", 2), ("BLOCK_PAIRS", 10)):
             monkeypatch.setattr(jj, name, value)
     rows = corpus(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jj.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}

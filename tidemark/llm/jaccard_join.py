@@ -6,9 +6,10 @@ Every step is exact; nothing is capped. The rows that a step emits follow its in
 2. Shingles are ordered by document count where they are common, then by hash. Two linked sets share a shingle in the first
    n // 7 + 1 of the smaller and the first n // 4 + 1 of the larger, so only these are posted to inverted lists. Lists that
    are known to be long are dealt over several tasks.
-3. Contraction: in long lists each document is paired with one leader. What these pairs link becomes one component, whose
-   inner pairs are never looked at again.
-4. Candidates: pairs of different components that meet in a list and pass the size and position filters.
+3. Contraction: each document in a long list is paired with the most central document of one or two of its lists. What these
+   pairs link becomes one component, whose inner pairs are never looked at again.
+4. Candidates: pairs of different components that meet in a list and pass the size and position filters, and whose parity
+   bitmaps differ in no more bits than two linked sets can.
 5. T-occurrence search: candidates are gathered in blocks. Each block indexes its documents in inverted lists; a query
    merges its short lists on a heap with skips, probes its long lists by binary search (DivideSkip), and retains the documents
    that reach the required overlap.
@@ -38,12 +39,14 @@ from .text import lower_space_words, map_rows, small_batches
 SHINGLE = 5
 #: The threshold as a fraction of integers.
 NEAR, OF = 75, 100
-#: Common shingles that the order knows: a bounded list, which only steers how much work there is.
-HOT, HOT_IN_TASK, TASK_SUMMARY = 50_000, 8, 200_000
+#: Common shingles that the order knows: a bounded list, which only steers how much work there is. TASK_HOT come from a task.
+HOT, HOT_MIN, TASK_HOT = 300_000, 8, 100_000
+#: Slots of a task's table of shingles met before, and bits of a document's parity bitmap.
+SLOTS, BITS = 1 << 24, 2048
 #: Lists longer than this are dealt over several tasks; lists longer than STAR are contracted first.
 LIST_ROWS, STAR = 2000, 32
 #: Pairs in a block of the T-occurrence search, and ids up to which a join with the documents is a broadcast (16 bytes each).
-BLOCK_PAIRS, BROADCAST_IDS = 2000, 500_000
+BLOCK_PAIRS, BROADCAST_IDS = 2000, 200_000
 MU = 0.0085
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 
@@ -88,45 +91,89 @@ def required(n_x: int, n_y):
     return -(-NEAR * (n_x + n_y) // (OF + NEAR))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """Bitmap in which each shingle turns one bit: two sets' bitmaps differ in at most as many bits as the sets in shingles."""
+    return np.packbits(np.bincount(s & (BITS - 1), minlength=BITS) & 1).tobytes()
+
+
+class _Repeats:
+    """Counts of the shingles that a stream of sets repeats, in bounded memory: what falls on a slot met before is counted."""
+
+    def __init__(self):
+        self.met = np.zeros(SLOTS, dtype=bool)
+        self.tokens, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.n = 0
+
+    def add(self, s: np.ndarray) -> None:
+        at = s & (SLOTS - 1)
+        again = s[self.met[at]]
+        self.met[at] = True
+        self.waiting.append(again)
+        self.n += len(again)
+        if self.n > 1_000_000:
+            self.merge()
+
+    def merge(self) -> None:
+        got, n = np.unique(np.concatenate([self.tokens[:0], *self.waiting]), return_counts=True)
+        tokens, at = np.unique(np.concatenate([self.tokens, got]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([self.counts, n]), minlength=len(tokens)).astype(np.int64)
+        if len(tokens) > 10 * TASK_HOT:
+            keep = np.sort(np.argpartition(-counts, 5 * TASK_HOT)[: 5 * TASK_HOT])
+            tokens, counts = tokens[keep], counts[keep]
+        self.tokens, self.counts, self.waiting, self.n = tokens, counts, [], 0
+
+    def top(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        self.merge()
+        keep = np.argsort(-self.counts, kind="stable")[:size]
+        return self.tokens[keep], self.counts[keep]
+
+
+SIGNATURES = "doc_id long, n long, key long, parity binary, hot array<long>, hot_n array<long>"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and a last one with the common shingles of the task."""
-    empty = np.zeros(0, np.int64)
-    known, counts, seen = empty, empty, set()
+    repeats, seen = _Repeats(), set()
+    longs = pa.list_(pa.int64())
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         sets = [shingle_set(t) for t in texts]
         keys = [set_key(s) for s in sets]
-        new = [s for s, k in zip(sets, keys) if k not in seen and not seen.add(k)]
-        if len(seen) > 1_000_000:
+        for s, k in zip(sets, keys):
+            if k not in seen:
+                seen.add(k)
+                repeats.add(s)
+        if len(seen) > 500_000:
             seen.clear()
-        got, n = np.unique(np.concatenate([empty, *new]), return_counts=True)
-        known, at = np.unique(np.concatenate([known, got]), return_inverse=True)
-        counts = np.bincount(at, np.concatenate([counts, n]), minlength=len(known)).astype(np.int64)
-        if len(known) > TASK_SUMMARY:
-            keep = np.sort(np.argpartition(-counts, TASK_SUMMARY)[:TASK_SUMMARY])
-            known, counts = known[keep], counts[keep]
-        yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(map(len, sets), pa.int64()), "key": pa.array(map(short_key, keys), pa.int64()), "hot": pa.nulls(len(ids), pa.list_(pa.int64())), "hot_n": pa.nulls(len(ids), pa.list_(pa.int64()))})
-    keep = np.argsort(-counts, kind="stable")[:HOT]
-    keep = keep[counts[keep] >= HOT_IN_TASK]
-    yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "key": pa.nulls(1, pa.int64()), "hot": pa.array([known[keep].tolist()], pa.list_(pa.int64())), "hot_n": pa.array([counts[keep].tolist()], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(map(len, sets), pa.int64()), "key": pa.array(map(short_key, keys), pa.int64()), "parity": pa.array(map(parity, sets), pa.binary()), "hot": pa.nulls(len(ids), longs), "hot_n": pa.nulls(len(ids), longs)})
+    tokens, counts = repeats.top(TASK_HOT)
+    none = pa.nulls(1, pa.int64())
+    yield pa.RecordBatch.from_pydict({"doc_id": none, "n": none, "key": none, "parity": pa.nulls(1, pa.binary()), "hot": pa.array([tokens.tolist()], longs), "hot_n": pa.array([counts.tolist()], longs)})
 
 
 class Order:
     """The order of shingles: those not known as common by hash, then the common ones from rare to frequent."""
 
-    def __init__(self, hot: list[tuple[int, int]]):
-        pairs = sorted(hot)
-        self.tokens = np.array([t for t, _ in pairs], dtype=np.int64)
-        self.counts = np.array([c for _, c in pairs], dtype=np.int64)
+    def __init__(self, tokens: np.ndarray, counts: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.counts = tokens[order], counts[order]
+        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe[tokens & ((1 << 22) - 1)] = True
 
     def prefix(self, s: np.ndarray) -> np.ndarray:
         size = len(s) // 4 + 1
-        if not len(self.tokens):
+        at = np.flatnonzero(self.maybe[s & ((1 << 22) - 1)])
+        if not len(at) or at[0] >= size:
             return s[:size]
-        at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        weight = np.where(self.tokens[at] == s, self.counts[at], 0)
+        found = np.minimum(np.searchsorted(self.tokens, s[at]), len(self.tokens) - 1)
+        weight = np.zeros(len(s), np.int64)
+        weight[at] = np.where(self.tokens[found] == s[at], self.counts[found], 0)
         if not weight[:size].any():
             return s[:size]
+        free = np.flatnonzero(weight == 0)
+        if len(free) >= size:
+            return s[free[:size]]
         return s[np.lexsort((s, weight))[:size]]
 
 
@@ -157,13 +204,13 @@ def _bounds(g: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of two documents or more, each document once."""
+    """Lists of two documents or more, each document once; lists over several parts as they are."""
     for g in _groups(batches):
         at = _bounds(g)
         new = np.r_[True, (g["key"][1:] != g["key"][:-1]) | (g["n"][1:] != g["n"][:-1])]
         new[at[:-1]] = True
         size = np.add.reduceat(new, at[:-1])
-        keep = new & np.repeat(size > 1, np.diff(at))
+        keep = new & (np.repeat(size > 1, np.diff(at)) | (g["parts"] > 1))
         rows = np.repeat(size, np.diff(at))
         yield pa.RecordBatch.from_pydict({k: pa.array(v[keep]) for k, v in (*((c, g[c]) for c in ("token", "part", "parts", "key", "n", "pos")), ("size", rows))})
 
@@ -197,43 +244,41 @@ class _Pairs:
         return pa.RecordBatch.from_pydict({"a": pa.array(rows[:, 0], pa.int64()), "b": pa.array(rows[:, 1], pa.int64())})
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In each list the pairs of the leader (the least key) with the documents that could link to it."""
-    out = _Pairs()
-    for g in _groups(batches):
-        at = _bounds(g)
-        for a, z in zip(at[:-1], at[1:]):
-            key, n, pos = g["key"][a:z], g["n"][a:z], g["pos"][a:z]
-            lead = int(key.argmin())
-            ok = _ordered_fits(n, key, pos, n[lead], key[lead], pos[lead])
-            ok[lead] = False
-            out.add(key[ok], np.full(int(ok.sum()), key[lead]))
-        if out.n > 500_000:
-            yield out.take()
-    yield out.take()
-
-
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In each list the pairs of different components that pass the filters."""
     out = _Pairs()
     for g in _groups(batches):
         at = _bounds(g)
-        for a, z in zip(at[:-1], at[1:]):
-            comp = g["comp"][a:z]
-            if (comp == comp[0]).all():
-                continue
-            key, n, pos, guest = g["key"][a:z], g["n"][a:z], g["pos"][a:z], g["guest"][a:z]
-            names, counts = np.unique(comp, return_counts=True)
-            main = comp == names[counts.argmax()] if counts.max() > 1 else np.zeros(len(comp), bool)
+        start, size = at[:-1], np.diff(at)
+        comp = g["comp"]
+        mixed = (size > 1) & (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))
+        a = start[mixed & (size == 2)]
+        b = a + 1
+        ok = _ordered_fits(*(g[c][x] for x in (a, b) for c in ("n", "key", "pos"))) & ~(g["guest"][a] & g["guest"][b])
+        out.add(g["key"][a[ok]], g["key"][b[ok]])
+        for a, m in zip(start[mixed & (size > 2)], size[mixed & (size > 2)]):
+            own, key, n, pos, guest = (g[c][a : a + m] for c in ("comp", "key", "n", "pos", "guest"))
+            names, which, counts = np.unique(own, return_inverse=True, return_counts=True)
+            main = which == counts.argmax()
             for i in np.flatnonzero(~main):
-                ok = _ordered_fits(n, key, pos, n[i], key[i], pos[i]) & (comp != comp[i]) & ~(guest & guest[i])
-                ok &= main | (np.arange(len(key)) > i)  # two outside the main component meet once
+                ok = _ordered_fits(n, key, pos, n[i], key[i], pos[i]) & (own != own[i]) & ~(guest & guest[i])
+                ok &= main | (np.arange(m) > i)  # two outside the main component meet once
                 out.add(key[ok], np.full(int(ok.sum()), key[i]))
-                if out.n > 500_000:
-                    yield out.take()
+            if out.n > 500_000:
+                yield out.take()
     yield out.take()
 
 
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose bitmaps allow a link."""
+    for batch in batches:
+        c = {k: batch.column(k) for k in batch.schema.names}
+        bits = [np.frombuffer(b"".join(c[k].to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64) for k in ("parity_a", "parity_b")]
+        n_a, n_b = c["n_a"].to_numpy(), c["n_b"].to_numpy()
+        ok = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64) <= n_a + n_b - 2 * required(n_a, n_b)
+        yield pa.RecordBatch.from_pydict({k: c[k].filter(pa.array(ok)) for k in ("a", "b")})
+
+
 def divide_skip(lists: list[list[int]], least: int) -> Iterator[tuple[int, int]]:
     """(element, occurrences) of the elements that occur in at least `least` of the sorted lists."""
     if len(lists) < least or least < 1:
@@ -297,6 +342,26 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
+def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that can link by their bitmaps."""
+    for k in "ab":
+        pairs = pairs.join(classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")), k)
+    return pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_alike, "a long, b long")
+
+
+def stars(lists: DataFrame) -> DataFrame:
+    """At most two pairs (a, b) for each document of long lists: with the most central document of its longest list and of another one.
+
+    A document is the more central, the longer the lists are that it is in.
+    """
+    long_lists = lists.where((F.col("size") > STAR) | (F.col("parts") > 1))
+    per_key = written(long_lists.groupBy("key").agg(F.sum("size").alias("score"), F.max_by("token", F.struct("size", "token")).alias("t1"), F.max_by("token", F.xxhash64("token")).alias("t2")), "jaccard-central")
+    heads = long_lists.join(per_key.select("key", "score"), "key").groupBy("token").agg(F.max_by("key", F.struct("score", "key")).alias("head"))
+    member = per_key.select("key", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("token"))
+    pairs = member.join(heads, "token").where("key <> head")
+    return pairs.select(F.least("key", "head").alias("a"), F.greatest("key", "head").alias("b")).distinct()
+
+
 def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of pairs (a, b: distinct keys) that link, by T-occurrence search in blocks; links that it meets besides may be among them."""
     n = pairs.count()
@@ -340,17 +405,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    long_list = "hot array<long>, hot_n array<long>"
-    rows = written(docs.select("doc_id", "text").mapInArrow(_signatures, f"doc_id long, n long, key long, {long_list}"), "jaccard-sets")
-    found = rows.where("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("token")).agg(F.sum("x.hot_n").alias("n"))
-    hot = [tuple(r) for r in found.orderBy(F.desc("n"), "token").limit(HOT).collect()]
+    rows = written(docs.select("doc_id", "text").mapInArrow(_signatures, SIGNATURES), "jaccard-sets")
+    found = rows.where("hot is not null").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy(F.col("x.hot").alias("token")).agg((F.sum("x.hot_n") + 1).alias("n"))
+    hot = found.where(F.col("n") >= HOT_MIN).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
+    hot_tokens, hot_counts = hot.column("token").to_numpy(), hot.column("n").to_numpy()
     sets = rows.where("hot is null")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity")), "jaccard-classes")
 
-    sent = spark.sparkContext.broadcast(hot)
+    sent = spark.sparkContext.broadcast((hot_tokens, hot_counts))
 
     def start():
-        order = Order(sent.value)
+        order = Order(*sent.value)
         of = lambda t: (s := shingle_set(t), short_key(set_key(s)), order.prefix(s) if len(s) else s)
 
         def work(ids, texts):
@@ -362,7 +427,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     prefixes = map_rows(docs.select("doc_id", "text"), "doc_id long, key long, n long, prefix array<long>", start)
     mine = prefixes.join(classes.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
     posts = mine.select("key", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    dealt = [(t, -(-n // LIST_ROWS)) for t, n in hot if n > LIST_ROWS]
+    dealt = [(int(t), int(-(-n // LIST_ROWS))) for t, n in zip(hot_tokens, hot_counts) if n > LIST_ROWS]
     if dealt:
         # At most HOT rows.
         parts = spark.createDataFrame(dealt, "token long, parts int")
@@ -373,15 +438,10 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     ordered = lambda df: df.repartition("token", "part").sortWithinPartitions("token", "part", "n", "key")
     lists = written(ordered(posts.select("token", "part", "parts", "key", "n", "pos")).mapInArrow(_shared, "token long, part int, parts int, key long, n int, pos int, size long"), "jaccard-lists")
 
-    pairs = "a long, b long"
-    long_lists = lists.where((F.col("size") > STAR) | (F.col("parts") > 1))
-    stars = ordered(long_lists).mapInArrow(_stars, pairs)
-    heads = long_lists.where("parts > 1").groupBy("token", "part").agg(F.min("key").alias("b"))
-    first = heads.groupBy("token").agg(F.min("b").alias("a"))
-    stars = written(stars.union(heads.join(first, "token").where("a <> b").select("a", "b")).distinct(), "jaccard-stars")
+    first = written(alike(stars(lists), classes), "jaccard-stars")
     links = None
-    if not stars.isEmpty():
-        links = written(linked(stars, docs, classes), "jaccard-star-links")
+    if not first.isEmpty():
+        links = written(linked(first, docs, classes), "jaccard-star-links")
         roots = components(links)
         lists = lists.join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     else:
@@ -394,7 +454,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         others = split.join(main, "token").where("comp <> main").drop("main")
         visits = others.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> part").withColumn("part", F.col("to")).withColumn("guest", F.lit(True)).drop("to")
         lists = lists.unionByName(visits)
-    candidates = written(ordered(lists).mapInArrow(_candidates, pairs).distinct(), "jaccard-candidates")
+    candidates = written(alike(ordered(lists).mapInArrow(_candidates, "a long, b long").distinct(), classes), "jaccard-candidates")
     if not candidates.isEmpty():
         more = written(linked(candidates, docs, classes), "jaccard-links")
         links = more if links is None else links.union(more)
@@ -408,3 +468,13 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     joined = sets.join(out, "key", "left")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(real, F.col("class_id")).alias("class_id"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without all but one document of each component: the one with the component's id."""
+    found = written(jaccard_join(docs).select("doc_id", "component_id"), "jaccard-result")
+    rest = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return rest
+    return rest.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(rest.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
