@@ -2,7 +2,7 @@
 
 A pre-token (a match of the pattern) that is itself in the vocabulary is found by a minimal perfect hash: one bucket of
 displacements and one comparison. All other pre-tokens are merged from their bytes, which are linked to their neighbours, with
-a heap that yields the pair of lowest rank, leftmost first. Both tiers fill a bounded memo of space-separated chunks.
+a heap that yields the pair of lowest rank, leftmost first. Both tiers fill a bounded memo of pre-tokens.
 
 Rows: null and empty texts have no ids, and decode to no bytes. Repeated rows give one row each.
 """
@@ -11,20 +11,21 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections import defaultdict
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 
+from .chunks import ChunkEncoder
 from .text import map_rows, utf8
 
-#: Chunks that one worker remembers, and the longest of them in characters.
-MEMO, MEMO_CHARS = 400_000, 64
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _MASK = (1 << 64) - 1
 
@@ -74,29 +75,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        self.make = make
-
-    def __missing__(self, piece):
-        got = self.make(" " + piece)
-        if len(piece) <= MEMO_CHARS:
-            if len(self) >= MEMO:
-                self.clear()
-            self[piece] = got
-        return got
-
-
 class BytePairCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.hash = PerfectHash(list(ranks))
-        self.slot_id = [ranks[k] for k in self.hash.keys]
+        self.slot_id = [array("I", [ranks[k]]) for k in self.hash.keys]
         self.vocabulary = {v: k for k, v in ranks.items()}
-        self.memo = _Memo(self._chunk)
+        self.encoder = ChunkEncoder(self.split, lambda tokens: list(map(self._token, tokens)))
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> array:
         """The ids of a pre-token that is not in the vocabulary."""
         ranks, n = self.ranks.get, len(piece)
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
@@ -120,32 +108,21 @@ class BytePairCodec:
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])
             i = after[i]
-        return out
-
-    def _chunk(self, text: str) -> bytes:
-        """Ids of each pattern match of text, as little-endian unsigned 32-bit integers."""
-        out: list[int] = []
-        for token in self.split(text):
-            raw = utf8(token)
-            slot = self.hash.get(raw)
-            if slot >= 0:
-                out.append(self.slot_id[slot])
-            else:
-                out += self.merge(raw)
-        return np.array(out, dtype="<u4").tobytes()
+        return array("I", out)
+
+    def _token(self, token: str) -> array:
+        raw = utf8(token)
+        slot = self.hash.get(raw)
+        return self.slot_id[slot] if slot >= 0 else self.merge(raw)
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Ids of whole texts as little-endian unsigned 32-bit integers."""
+        ids, offsets = self.encoder.encode(texts)
+        packed = ids.astype("<u4").tobytes()
+        return [packed[4 * a : 4 * z] for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of the whole text, packed as above.
-
-        No match of the pattern crosses the border before a single space, so a text can be cut there. Where spaces stand
-        together or at the end they belong to longer white space: such a text is split as a whole.
-        """
-        if not text:
-            return b""
-        if "  " in text or text[-1] == " ":
-            return self._chunk(text)
-        first, *rest = text.split(" ")
-        return self._chunk(first) + b"".join(map(self.memo.__getitem__, rest))
+        return self.encode_batch(pa.array([text], pa.string()))[0]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
@@ -165,8 +142,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = publi
 
         def work(doc_ids, texts):
             out = defaultdict(list, {k: [] for k in ("n_tokens", "ids_sha256", "decoded_sha256", "ids")}, doc_id=doc_ids)
-            for text in texts:
-                packed = own.encode(text)
+            for packed in own.encode_batch(texts):
                 out["n_tokens"].append(len(packed) // 4)
                 out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(own.decode(packed)).hexdigest())
@@ -175,4 +151,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = publi
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), SCHEMA + ", ids binary" * keep_ids, start)
+    return map_rows(docs.select("doc_id", "text"), SCHEMA + ", ids binary" * keep_ids, start, arrow=True)
