@@ -1,4 +1,397 @@
 """Registry of the engine's queries and of the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import arrays as A
+from ..operators import context, diagnostics, features, normalize, outcomes, prospective, similarity, validation, windows
+from ..sources import bars as B
+
+LENGTH = 16
+SERIES = ["instrument", "timeframe"]
+
+
+def _r(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show; -0 becomes 0."""
+    return df.select(*(F.round(F.col(c) + F.lit(0.0), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _h4_windows(spark: SparkSession, sf_dir: str, horizon: int = 0, lengths: tuple[int, ...] = (LENGTH,)) -> DataFrame:
+    return windows.sliding_windows(B.event_bars(spark, sf_dir), lengths, horizon=horizon)
+
+
+_BARS = """bars AS (
+  SELECT event_type AS instrument, 'H4' AS timeframe, time_bucket(INTERVAL '4 hours', ts, TIMESTAMP '1970-01-01') AS ts,
+    arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
+  FROM events GROUP BY 1, 2, 3)"""
+_D1 = """bars AS (
+  SELECT o_orderpriority AS instrument, 'D1' AS timeframe, date_trunc('day', o_orderdate) AS ts,
+    arg_min(o_totalprice, (o_orderdate, o_orderkey)) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS close,
+    CAST(count(*) AS DOUBLE) AS volume
+  FROM orders GROUP BY 1, 2, 3)"""
+#: Windows of 16 bars with their closes and, for the labels, the five bars behind.
+_WIN = (
+    _BARS
+    + """, numbered AS (
+  SELECT *, row_number() OVER s AS bar_no, list(close) OVER w AS c, list(open) OVER w AS o, list(high) OVER w AS h, list(low) OVER w AS l, list(volume) OVER w AS v,
+    first(ts) OVER w AS start_ts, list(close) OVER f AS fc, list(high) OVER f AS fh, list(low) OVER f AS fl
+  FROM bars
+  WINDOW s AS (PARTITION BY instrument ORDER BY ts), w AS (PARTITION BY instrument ORDER BY ts ROWS BETWEEN 15 PRECEDING AND CURRENT ROW),
+    f AS (PARTITION BY instrument ORDER BY ts ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),
+win AS (SELECT * EXCLUDE (ts), ts AS end_ts FROM numbered WHERE bar_no >= 16)"""
+)
+
+
+def bars_h4(spark, sf_dir):
+    return _r(B.event_bars(spark, sf_dir))
+
+
+def bars_d1(spark, sf_dir):
+    return _r(B.order_bars(spark, sf_dir))
+
+
+def window_counts(spark, sf_dir):
+    w = _h4_windows(spark, sf_dir, lengths=(8, 16, 32, 64))
+    return w.groupBy(*SERIES, "length").agg(F.count("*").alias("n_windows"), F.min("start_ts").alias("first_start"), F.max("end_ts").alias("last_end"))
+
+
+def window_flags(spark, sf_dir):
+    w = windows.sliding_windows(B.event_bars(spark, sf_dir, "H1"), (LENGTH,), seconds=3600)
+    return w.select(*SERIES, "end_ts", "missing_bars", F.concat_ws(",", "quality_flags").alias("flags"))
+
+
+def outcome_labels(spark, sf_dir):
+    got = outcomes.outcomes(_h4_windows(spark, sf_dir, horizon=5), (5,))
+    return _r(got.select("instrument", "end_ts", "available", "is_complete", "simple_return", "log_return", "mfe", "mae", "mfe_bar", "mae_bar", "direction_class", "continuation", "barrier_5", "barrier_10", "barrier_20", "first_barrier"))
+
+
+def outcome_summary(spark, sf_dir):
+    """Bars to windows to labels to groups: the smallest whole chain."""
+    got = outcomes.outcomes(_h4_windows(spark, sf_dir, horizon=5), (5,)).where("is_complete")
+    return _r(got.groupBy("instrument", "direction_class").agg(F.count("*").alias("n"), F.avg("simple_return").alias("avg_return"), F.avg("mfe").alias("avg_mfe"), F.avg("mae").alias("avg_mae")))
+
+
+def outcome_paths(spark, sf_dir):
+    got = outcomes.outcomes(_h4_windows(spark, sf_dir, horizon=5), (5,)).where("is_complete")
+    return _r(got.select("instrument", "end_ts", "realized_volatility", "path_efficiency"))
+
+
+def _norm(method: str):
+    def query(spark, sf_dir):
+        df = normalize.normalize(_h4_windows(spark, sf_dir), method)
+        path = F.col("volume_path" if method == "volume_relative_mean" else "close_path")
+        return _r(df.select("instrument", "end_ts", F.get(path, F.lit(0)).alias("p0"), F.get(path, F.lit(21)).alias("p21"), F.get(path, F.lit(40)).alias("p40"), F.get(path, F.lit(63)).alias("p63"), A.mean(path).alias("path_mean")))
+
+    return query
+
+
+def _norm_sql(raw: str, over: str = "c") -> str:
+    at = lambda i: f"(n[{i * 15 // 63 + 1}] + (n[least({i * 15 // 63 + 2}, 16)] - n[{i * 15 // 63 + 1}]) * ({i}.0 * 15 / 63 - {i * 15 // 63}))"
+    mean = "list_avg(list_transform(range(64), lambda i: n[CAST(floor(i * 15 / 63) AS INT) + 1] + (n[least(CAST(floor(i * 15 / 63) AS INT) + 2, 16)] - n[CAST(floor(i * 15 / 63) AS INT) + 1]) * (i * 15 / 63 - floor(i * 15 / 63))))"
+    points = ", ".join(f"round({at(i)} + 0.0, 6) AS p{i}" for i in (0, 21, 40, 63))
+    return f"WITH {_WIN}, norm AS (SELECT instrument, end_ts, {raw} AS n FROM win) SELECT instrument, end_ts, {points}, round({mean} + 0.0, 6) AS path_mean FROM norm"
+
+
+_STD = "sqrt(list_avg(list_transform({0}, lambda x: (x - list_avg({0})) * (x - list_avg({0})))))"
+_TR = "list_transform(range(1, 17), lambda i: CASE WHEN i = 1 THEN h[1] - l[1] ELSE greatest(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])) END)"
+_NORMS = {
+    "anchored_simple_return": "list_transform(c, lambda x: x / c[1] - 1)",
+    "anchored_log_return": "list_transform(c, lambda x: ln(x / c[1]))",
+    "zscore_close": f"list_transform(c, lambda x: (x - list_avg(c)) / {_STD.format('c')})",
+    "range_close": "list_transform(c, lambda x: (x - list_min(c)) / (list_max(c) - list_min(c)))",
+    "atr_anchored_ohlc": f"list_transform(c, lambda x: (x - c[1]) / list_avg({_TR}))",
+    "volume_relative_mean": "list_transform(v, lambda x: x / list_avg(v))",
+    "range_close_centred": "list_transform(c, lambda x: 2 * (x - list_min(c)) / (list_max(c) - list_min(c)) - 1)",
+    "volatility_targeted_return": f"list_transform(c, lambda x: ln(x / c[1]) / {_STD.format('list_transform(range(2, 17), lambda i: ln(c[i] / c[i - 1]))')})",
+    "anchored_ohlc": "list_transform(c, lambda x: x / c[1] - 1)",
+}
+
+FEATURES_CHECKED = ["return_mean", "return_std", "positive_return_ratio", "negative_return_ratio", "momentum_first_half", "momentum_second_half", "maximum_positive_return", "maximum_negative_return", "return_median", "normalized_atr", "body_to_range_mean", "bullish_candle_ratio", "bearish_candle_ratio", "inside_bar_ratio", "outside_bar_ratio", "close_location_value_mean", "upper_wick_ratio_mean", "lower_wick_ratio_mean", "relative_volume_mean", "volume_expansion_ratio", "high_volume_location", "normalized_endpoint_return", "volatility_first_half", "volatility_second_half"]
+
+
+def window_features(spark, sf_dir):
+    """All windows with the features that plain SQL can state."""
+    return _r(features.features(_h4_windows(spark, sf_dir)).select("instrument", "end_ts", *FEATURES_CHECKED))
+
+
+def market_features(spark, sf_dir):
+    """All 75 features; checked against numpy in the tests."""
+    return features.features(_h4_windows(spark, sf_dir))
+
+
+def market_context(spark, sf_dir):
+    described = features.features(_h4_windows(spark, sf_dir, lengths=(16, 64)))
+    return context.classify(described).select("window_id", *SERIES, "length", "end_ts", *context.DIMENSIONS, "family", "composite", "composite_confidence", "completeness")
+
+
+def context_families(spark, sf_dir):
+    return market_context(spark, sf_dir).groupBy("length", "family").count()
+
+
+def _searchable(spark, sf_dir):
+    df = normalize.normalize(_h4_windows(spark, sf_dir, horizon=5))
+    return df.select("window_id", *SERIES, "length", "start_ts", "end_ts", "future", "bars", "quality_flags", F.col("close_path").alias("path"))
+
+
+def analogues(spark, sf_dir):
+    """The three nearest earlier windows of the same instrument by shape, for every window."""
+    base = _searchable(spark, sf_dir).select("window_id", *SERIES, "length", "end_ts", "path")
+    got = similarity.search(base, base, "shape_euclidean_v1", 3, same_instrument=True)
+    ends = base.select(F.col("window_id").alias("q_id"), "instrument", F.col("end_ts").alias("q_end"))
+    return _r(got.join(ends, "q_id").select("instrument", "q_end", "rank", "c_end", "distance"))
+
+
+def analogues_blend(spark, sf_dir):
+    """Shape, features and context together, episodes capped."""
+    described = context.classify(features.features(_h4_windows(spark, sf_dir, lengths=(16, 64)))).where(F.col("length") == LENGTH)
+    vec = described.select("window_id", similarity.vector().alias("vec"), F.struct(*similarity.COMPARED).alias("context"))
+    base = _searchable(spark, sf_dir).join(vec, "window_id").select("window_id", *SERIES, "length", "end_ts", "path", "vec", "context", similarity.episode(16 * 14400).alias("episode_id"))
+    return similarity.search(base, base, "episode_diverse_analogue_v1", 5, same_instrument=True, per_episode=1)
+
+
+def embedding_neighbours(spark, sf_dir):
+    """Cosine neighbours within a label of the embeddings table."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    side = lambda p: v.select("label", F.col("vec_id").alias(f"{p}_id"), F.col("e").alias(p))
+    from pyspark.sql.window import Window
+
+    pairs = side("q").where("q_id % 50 = 0").join(side("c"), "label").where("q_id <> c_id").select("q_id", "c_id", F.round(similarity.cosine(F.col("q"), F.col("c")), 6).alias("distance"))
+    order = F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "c_id"))
+    return pairs.withColumn("rank", order).where("rank <= 5")
+
+
+def _neighbours(spark, sf_dir):
+    base = _searchable(spark, sf_dir)
+    labels = outcomes.outcomes(base.select("window_id", *SERIES, "length", "end_ts", "bars", "future"), (5,)).where("is_complete").select(F.col("window_id").alias("c_id"), "simple_return", "mfe", "mae", "continuation")
+    light = base.select("window_id", *SERIES, "length", "end_ts", "path")
+    found = similarity.search(light, light, "shape_euclidean_v1", 10, same_instrument=True)
+    return found.join(labels, "c_id"), labels
+
+
+def neighbour_forecast(spark, sf_dir):
+    near, labels = _neighbours(spark, sf_dir)
+    got = validation.forecast(near.withColumn("weight", validation.weights("rank_decay_v1", ["q_id"])), ["q_id"])
+    ends = _searchable(spark, sf_dir).select(F.col("window_id").alias("q_id"), "instrument", "end_ts")
+    return _r(got.join(ends, "q_id").select("instrument", "end_ts", "neighbours", "positive", "negative", "mean_return", "median_return", "q10", "q90", "std_return", "effective_size"))
+
+
+def _evaluations(spark, sf_dir):
+    near, labels = _neighbours(spark, sf_dir)
+    got = validation.forecast(near.withColumn("weight", validation.weights("uniform_v1", ["q_id"])), ["q_id"])
+    actual = labels.select(F.col("c_id").alias("q_id"), F.col("simple_return").alias("actual"))
+    inst = _searchable(spark, sf_dir).select(F.col("window_id").alias("q_id"), "instrument", "end_ts")
+    return got.join(actual, "q_id").join(inst, "q_id").select("q_id", "instrument", "end_ts", F.col("positive").alias("p"), (F.col("actual") > 0).alias("up"), "actual", F.col("mean_return").alias("predicted"), "q10", F.col("median_return").alias("q50"), "q90")
+
+
+def validation_metrics(spark, sf_dir):
+    return _r(validation.metrics(_evaluations(spark, sf_dir), ["instrument"]).drop("tp", "tn", "fp", "fn"))
+
+
+def validation_calibration(spark, sf_dir):
+    return _r(validation.calibration(_evaluations(spark, sf_dir), ["instrument"]))
+
+
+def eligibility_reasons(spark, sf_dir):
+    """Why candidates may not serve the last windows of each instrument, counted."""
+    base = _searchable(spark, sf_dir).select("window_id", "instrument", "timeframe", "length", "start_ts", "end_ts")
+    from pyspark.sql.window import Window
+
+    late = base.withColumn("_n", F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("end_ts")))).where("_n <= 10")
+    name = {"id": "window_id", "instrument": "instrument", "start": "start_ts", "end": "end_ts", "length": "length"}
+    q, c = late.select("timeframe", *(F.col(v).alias(f"q_{k}") for k, v in name.items())), base.select("timeframe", *(F.col(v).alias(f"c_{k}") for k, v in name.items()))
+    reason = validation.eligibility({k: F.col(f"q_{k}") for k in name}, {k: F.col(f"c_{k}") for k in name}, 5, gap_bars=3)
+    return q.join(c, "timeframe").groupBy(F.col("q_instrument").alias("instrument"), F.coalesce(reason, F.lit("ELIGIBLE")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def walk_forward_folds(spark, sf_dir):
+    return validation.folds(_h4_windows(spark, sf_dir).where("instrument = 'click'").select("window_id", "end_ts"), "expanding_walk_forward_v1")
+
+
+def quality_profile(spark, sf_dir):
+    return _r(B.decide(B.profile(B.event_bars(spark, sf_dir, "H1"))))
+
+
+def row_validation(spark, sf_dir):
+    """Events as imported rows, with defects made by their id, judged one by one."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ts = F.when(F.col("event_id") % 101 == 0, None).when(F.col("event_id") % 89 == 0, F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000) * 3_600_000_000).cast("timestamp_ntz")).otherwise(F.col("ts"))
+    v = F.col("value")
+    rows = e.select("event_type", F.col("event_id").alias("row_no"), ts.alias("ts"), v.alias("open_value"), F.when(F.col("event_id") % 97 == 0, v - 1).otherwise(v + 1).alias("high_value"), (v - 1).alias("low_value"), F.when(F.col("event_id") % 83 == 0, F.lit(float("nan"))).otherwise(v).alias("close_value"), F.when(F.col("event_id") % 79 == 0, -1.0).otherwise(1.0).alias("volume_value"))
+    return B.validate_rows(rows, ["event_type"]).select("row_no", F.concat_ws(",", "errors").alias("errors"), "accepted")
+
+
+def provider_comparison(spark, sf_dir):
+    a = B.order_bars(spark, sf_dir)
+    b = a.where(F.day("ts") != 13).withColumn("close", F.col("close") * F.when(F.day("ts") % 2 == 0, 1.01).otherwise(1.0))
+    return _r(B.compare_providers(a, b), 4)
+
+
+def feature_availability(spark, sf_dir):
+    return _r(features.availability(market_features(spark, sf_dir)))
+
+
+def feature_distribution(spark, sf_dir):
+    return diagnostics.distribution(market_features(spark, sf_dir))
+
+
+def feature_redundancy(spark, sf_dir):
+    return diagnostics.redundant_pairs(market_features(spark, sf_dir))
+
+
+def distance_deciles(spark, sf_dir):
+    near, labels = _neighbours(spark, sf_dir)
+    actual = labels.select(F.col("c_id").alias("q_id"), F.col("simple_return").alias("own"))
+    scored = near.join(actual, "q_id").select("q_id", "c_id", "distance", F.abs(F.col("simple_return") - F.col("own")).alias("discrepancy"))
+    return _r(diagnostics.deciles(scored, "distance", ["q_id", "c_id"], "discrepancy"))
+
+
+def significance(spark, sf_dir):
+    """Adjusted p-values of one test an instrument, from the share of rising outcomes."""
+    e = _evaluations(spark, sf_dir)
+    t = e.groupBy("instrument").agg(F.count("*").alias("n"), F.count_if("up").alias("k")).select(F.col("instrument").alias("test"), F.lit(1).alias("g"), (F.col("k") / F.col("n") / 2).alias("p_value"))
+    return _r(validation.adjust(t, ["g"]).select("test", "p_value", "p_bh", "p_holm"))
+
+
+def prospective_fallback(spark, sf_dir):
+    """For the last windows of each instrument: the probability from the narrowest history that is large enough, as of their end."""
+    history, queries = _prospective_inputs(spark, sf_dir)
+    return _r(prospective.fallback(queries, history, least=30))
+
+
+def _prospective_inputs(spark, sf_dir):
+    from pyspark.sql.window import Window
+
+    w = _h4_windows(spark, sf_dir, horizon=5)
+    o = outcomes.outcomes(w, (5,)).select("window_id", "instrument", "end_ts", "horizon", "is_complete", "simple_return", "source_return")
+    # A context that SQL can state as well: the sign of the window's own move, and whether it was large.
+    c = o.withColumn("trend", F.when(F.col("source_return") > 0, "UP").otherwise("DOWN")).withColumn("volatility", F.when(F.abs("source_return") > 0.5, "HIGH").otherwise("LOW"))
+    late = F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("end_ts")))
+    queries = c.withColumn("_n", late).where("_n <= 12").select("window_id", "instrument", "horizon", "trend", "volatility", F.col("end_ts").alias("as_of"))
+    return c, queries
+
+
+def forecast_evaluation(spark, sf_dir):
+    history, queries = _prospective_inputs(spark, sf_dir)
+    forecasts = prospective.fallback(queries, history, least=30)
+    return _r(prospective.evaluate(prospective.mature(forecasts, history), ["horizon"]))
+
+
+_PICK = ["bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
+QUERIES = {name: globals()[name] for name in _PICK} | {f"norm_{m}": _norm(m) for m in normalize.METHODS}
+
+_RET = "list_transform(range(2, 17), lambda i: ln(c[i] / c[i - 1]))"
+_BARRIER = """CASE WHEN len(fc) = 0 THEN 'UNAVAILABLE' WHEN u{0} IS NULL AND d{0} IS NULL THEN 'NEITHER' WHEN d{0} IS NULL THEN 'UPPER_FIRST' WHEN u{0} IS NULL THEN 'LOWER_FIRST'
+  WHEN u{0} = d{0} THEN 'SAME_BAR_BOTH' WHEN u{0} < d{0} THEN 'UPPER_FIRST' ELSE 'LOWER_FIRST' END"""
+_HITS = ", ".join(f"list_position(list_transform(fh, lambda x: x >= c[16] * (1 + {b})), true) AS u{k}, list_position(list_transform(fl, lambda x: x <= c[16] * (1 - {b})), true) AS d{k}" for k, b in ((5, 0.005), (10, 0.01), (20, 0.02)))
+_LABELS = (
+    _WIN
+    + f""", fut AS (SELECT * EXCLUDE (fc, fh, fl), coalesce(fc, []) AS fc, coalesce(fh, []) AS fh, coalesce(fl, []) AS fl FROM win), hits AS (SELECT *, {_HITS} FROM fut), lab0 AS (
+  SELECT instrument, end_ts, len(fc) AS available, len(fc) >= 5 AS is_complete, c, fc, fh, fl, c[16] / c[1] - 1 AS source_return, fc[len(fc)] / c[16] - 1 AS simple_return, ln(fc[len(fc)] / c[16]) AS log_return,
+    list_max(fh) / c[16] - 1 AS mfe, list_min(fl) / c[16] - 1 AS mae, list_position(fh, list_max(fh)) AS mfe_bar, list_position(fl, list_min(fl)) AS mae_bar,
+    {_BARRIER.format(5)} AS barrier_5, {_BARRIER.format(10)} AS barrier_10, {_BARRIER.format(20)} AS barrier_20 FROM hits),
+labels_ AS (SELECT *, CASE WHEN simple_return IS NULL THEN 'UNAVAILABLE' WHEN simple_return > 1e-6 THEN 'POSITIVE' WHEN simple_return < -1e-6 THEN 'NEGATIVE' ELSE 'FLAT' END AS direction_class,
+    CASE WHEN source_return IS NULL OR abs(source_return) < 1e-6 THEN 'SOURCE_DIRECTION_UNAVAILABLE' WHEN simple_return IS NULL THEN 'UNAVAILABLE' WHEN abs(simple_return) <= 1e-12 THEN 'SIDEWAYS'
+      WHEN sign(source_return) = sign(simple_return) THEN 'CONTINUATION' ELSE 'REVERSAL' END AS continuation,
+    CASE WHEN available = 0 THEN 'UNAVAILABLE' WHEN barrier_5 <> 'NEITHER' THEN barrier_5 WHEN barrier_10 <> 'NEITHER' THEN barrier_10 WHEN barrier_20 <> 'NEITHER' THEN barrier_20 ELSE 'NEITHER' END AS first_barrier
+  FROM lab0)"""
+)
+_R6 = lambda *names: ", ".join(f"round({n} + 0.0, 6) AS {n}" for n in names)
+_PATH = "list_transform(range(64), lambda i: n[CAST(floor(i * 15 / 63) AS INT) + 1] + (n[least(CAST(floor(i * 15 / 63) AS INT) + 2, 16)] - n[CAST(floor(i * 15 / 63) AS INT) + 1]) * (i * 15 / 63 - floor(i * 15 / 63)))"
+_PAIRS = f""", norm AS (SELECT instrument, end_ts, start_ts, {_NORMS['anchored_log_return']} AS n FROM win), shape AS (SELECT instrument, end_ts, start_ts, {_PATH} AS p FROM norm),
+pairs AS (SELECT q.instrument, q.end_ts AS q_end, k.end_ts AS c_end, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.p[i] - k.p[i]) * (q.p[i] - k.p[i]))) / 64) AS distance
+  FROM shape q JOIN shape k ON q.instrument = k.instrument AND k.end_ts < q.end_ts),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY instrument, q_end ORDER BY distance, c_end) AS rank FROM pairs QUALIFY rank <= 10)"""
+_NEAR = _LABELS + _PAIRS + """, near AS (SELECT r.instrument, r.q_end, r.rank, r.distance, r.c_end, o.simple_return AS x FROM ranked r JOIN labels_ o ON o.instrument = r.instrument AND o.end_ts = r.c_end AND o.is_complete)"""
+_EVAL = _NEAR + """, fc_ AS (SELECT instrument, q_end, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(x) AS predicted, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.9) AS q90 FROM near GROUP BY ALL),
+ev AS (SELECT f.*, o.simple_return AS actual, o.simple_return > 0 AS up FROM fc_ f JOIN labels_ o ON o.instrument = f.instrument AND o.end_ts = f.q_end AND o.is_complete)"""
+_HALF = lambda lo, hi: f"sqrt(list_avg(list_transform(r[{lo}:{hi}], lambda x: (x - list_avg(r[{lo}:{hi}])) * (x - list_avg(r[{lo}:{hi}])))))"
+_FEATURE_SQL = {
+    "return_mean": "list_avg(r)", "return_std": _STD.format("r"), "positive_return_ratio": "len(list_filter(r, lambda x: x > 0)) / 15.0", "negative_return_ratio": "len(list_filter(r, lambda x: x < 0)) / 15.0",
+    "momentum_first_half": "list_sum(r[1:7])", "momentum_second_half": "list_sum(r[8:15])", "maximum_positive_return": "list_max(r)", "maximum_negative_return": "list_min(r)", "return_median": "list_median(r)",
+    "normalized_atr": f"list_avg({_TR.replace('h[1] - l[1]', 'greatest(h[1] - l[1], abs(h[1] - c[1]), abs(l[1] - c[1]))')}) / list_avg(c)",
+    "body_to_range_mean": "CASE WHEN flat THEN NULL ELSE list_avg(list_transform(range(1, 17), lambda i: abs(c[i] - o[i]) / (h[i] - l[i]))) END",
+    "bullish_candle_ratio": "len(list_filter(range(1, 17), lambda i: c[i] > o[i])) / 16.0", "bearish_candle_ratio": "len(list_filter(range(1, 17), lambda i: c[i] < o[i])) / 16.0",
+    "inside_bar_ratio": "len(list_filter(range(2, 17), lambda i: h[i] <= h[i - 1] AND l[i] >= l[i - 1])) / 15.0", "outside_bar_ratio": "len(list_filter(range(2, 17), lambda i: h[i] >= h[i - 1] AND l[i] <= l[i - 1])) / 15.0",
+    "close_location_value_mean": "CASE WHEN flat THEN NULL ELSE list_avg(list_transform(range(1, 17), lambda i: (c[i] - l[i]) / (h[i] - l[i]))) END",
+    "upper_wick_ratio_mean": "CASE WHEN flat THEN NULL ELSE list_avg(list_transform(range(1, 17), lambda i: (h[i] - greatest(o[i], c[i])) / (h[i] - l[i]))) END",
+    "lower_wick_ratio_mean": "CASE WHEN flat THEN NULL ELSE list_avg(list_transform(range(1, 17), lambda i: (least(o[i], c[i]) - l[i]) / (h[i] - l[i]))) END",
+    "relative_volume_mean": "CAST(1 AS DOUBLE)", "volume_expansion_ratio": "list_avg(v[9:16]) / list_avg(v[1:8])", "high_volume_location": "(list_position(v, list_max(v)) - 1) / 15.0", "normalized_endpoint_return": "ln(c[16] / c[1])",
+    "volatility_first_half": _HALF(1, 7), "volatility_second_half": _HALF(8, 15),
+}
+ORACLE_SQL = {
+    "bars_h4": f"WITH {_BARS} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars",
+    "bars_d1": f"WITH {_D1} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars",
+    "window_counts": f"""WITH {_BARS}, n AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY ts) AS k FROM bars), len AS (SELECT unnest([8, 16, 32, 64])::INT AS length)
+      SELECT b.instrument, b.timeframe, length, count(*) AS n_windows, min(a.ts) AS first_start, max(b.ts) AS last_end FROM n b, len JOIN n a ON a.instrument = b.instrument AND a.k = b.k - length + 1 GROUP BY ALL""",
+    "window_flags": f"""WITH {_BARS.replace("'H4'", "'H1'").replace('4 hours', '1 hour')}, g AS (
+      SELECT *, greatest(floor((epoch_us(ts) - epoch_us(lag(ts) OVER s)) / 3600000000.0) - 1, 0) AS gap, row_number() OVER s AS k FROM bars WINDOW s AS (PARTITION BY instrument ORDER BY ts)),
+      m AS (SELECT *, CAST(coalesce(sum(gap) OVER (PARTITION BY instrument ORDER BY ts ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS missing_bars FROM g)
+      SELECT instrument, timeframe, ts AS end_ts, missing_bars, CASE WHEN missing_bars > 0 THEN 'EXTREME_GAP,MISSING_BARS' ELSE 'NONE' END AS flags FROM m WHERE k >= 16""",
+    "outcome_labels": f"""WITH {_LABELS} SELECT instrument, end_ts, CAST(available AS INT) AS available, is_complete, {_R6('simple_return', 'log_return', 'mfe', 'mae')}, CAST(mfe_bar AS BIGINT) AS mfe_bar, CAST(mae_bar AS BIGINT) AS mae_bar,
+      direction_class, continuation, barrier_5, barrier_10, barrier_20, first_barrier FROM labels_""",
+    "outcome_summary": f"""WITH {_LABELS} SELECT instrument, direction_class, count(*) AS n, round(avg(simple_return), 6) AS avg_return, round(avg(mfe), 6) AS avg_mfe, round(avg(mae), 6) AS avg_mae FROM labels_ WHERE is_complete GROUP BY ALL""",
+    "outcome_paths": f"""WITH {_LABELS}, s AS (SELECT instrument, end_ts, list_transform(range(1, 6), lambda i: ln(fc[i] / CASE WHEN i = 1 THEN c[16] ELSE fc[i - 1] END)) AS r FROM labels_ WHERE is_complete)
+      SELECT instrument, end_ts, round(sqrt(list_sum(list_transform(r, lambda x: (x - list_avg(r)) * (x - list_avg(r)))) / 4), 6) AS realized_volatility, round(abs(list_sum(r)) / list_sum(list_transform(r, lambda x: abs(x))), 6) AS path_efficiency FROM s""",
+    "window_features": f"""WITH {_WIN}, w AS (SELECT *, {_RET} AS r, len(list_filter(range(1, 17), lambda i: h[i] - l[i] <= 0)) > 0 AS flat FROM win)
+      SELECT instrument, end_ts, {', '.join(f'round({e} + 0.0, 6) AS {n}' for n, e in _FEATURE_SQL.items())} FROM w""",
+    "analogues": f"WITH {_WIN}{_PAIRS} SELECT instrument, q_end, CAST(rank AS INT) AS rank, c_end, round(distance, 6) AS distance FROM ranked WHERE rank <= 3",
+    "embedding_neighbours": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT q.vec_id AS q_id, c.vec_id AS c_id, round(1 - list_cosine_similarity(q.e, c.e), 6) AS distance
+      FROM v q JOIN v c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+      SELECT q_id, c_id, distance, CAST(row_number() OVER (PARTITION BY q_id ORDER BY distance, c_id) AS INT) AS rank FROM p QUALIFY rank <= 5""",
+    "neighbour_forecast": f"""WITH {_NEAR}, u AS (SELECT *, 1.0 / rank AS w FROM near) SELECT instrument, q_end AS end_ts, count(*) AS neighbours, round(sum(CASE WHEN x > 0 THEN w ELSE 0 END) / sum(w), 6) AS positive,
+      round(sum(CASE WHEN x < 0 THEN w ELSE 0 END) / sum(w), 6) AS negative, round(sum(w * x) / sum(w), 6) AS mean_return, round(quantile_cont(x, 0.5), 6) AS median_return, round(quantile_cont(x, 0.1), 6) AS q10,
+      round(quantile_cont(x, 0.9), 6) AS q90, round(coalesce(stddev_samp(x), 0.0), 6) AS std_return, round(least(greatest(sum(w) * sum(w) / sum(w * w), 1.0), count(*)), 6) AS effective_size FROM u GROUP BY ALL""",
+    "validation_metrics": f"""WITH {_EVAL}, z AS (SELECT *, p >= 0.5 AS g, least(greatest(p, 1e-12), 1 - 1e-12) AS pc FROM ev), a AS (SELECT instrument, count(*) AS n, count(*) FILTER (WHERE g AND up) AS tp, count(*) FILTER (WHERE NOT g AND NOT up) AS tn,
+      count(*) FILTER (WHERE g AND NOT up) AS fp, count(*) FILTER (WHERE NOT g AND up) AS fn, avg((p - up::INT) * (p - up::INT)) AS brier_score, avg(-CASE WHEN up THEN ln(pc) ELSE ln(1 - pc) END) AS log_loss, avg(abs(actual - predicted)) AS mae,
+      sqrt(avg((actual - predicted) * (actual - predicted))) AS rmse, avg((greatest(0.1 * (actual - q10), -0.9 * (actual - q10)) + greatest(0.5 * (actual - q50), -0.5 * (actual - q50)) + greatest(0.9 * (actual - q90), -0.1 * (actual - q90))) / 3) AS pinball_loss
+      FROM z GROUP BY instrument) SELECT instrument, n, {_R6('brier_score', 'log_loss', 'mae', 'rmse', 'pinball_loss')}, round(mae, 6) AS empirical_crps, round((tp + tn) / greatest(n, 1), 6) AS direction_accuracy,
+      round((tp / greatest(tp + fn, 1) + tn / greatest(tn + fp, 1)) / 2, 6) AS balanced_accuracy, round((tp * tn - fp * fn) / sqrt(greatest(CAST((tp + fp) * (tp + fn) AS DOUBLE) * ((tn + fp) * (tn + fn)), 1.0)), 6) AS matthews_correlation,
+      round(1 - brier_score / 0.25, 6) AS brier_skill_score FROM a""",
+    "validation_calibration": f"""WITH {_EVAL}, b AS (SELECT *, CAST(least(len(list_filter([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda e: p >= e)), 9) AS INT) AS bin FROM ev),
+      t AS (SELECT instrument, bin, count(*) AS n, avg(p) AS confidence, avg(up::INT) AS frequency FROM b GROUP BY ALL), every AS (SELECT instrument, CAST(unnest(range(10)) AS INT) AS bin FROM (SELECT DISTINCT instrument FROM ev))
+      SELECT e.instrument, e.bin, coalesce(n, 0) AS n, round(confidence, 6) AS confidence, round(frequency, 6) AS frequency, round(abs(confidence - frequency), 6) AS gap FROM every e LEFT JOIN t ON t.instrument = e.instrument AND t.bin = e.bin""",
+    "eligibility_reasons": f"""WITH {_WIN}, e AS (SELECT instrument, epoch_us(start_ts) / 1e6 AS s, epoch_us(end_ts) / 1e6 AS e FROM win), q AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY e DESC) <= 10),
+      p AS (SELECT q.instrument, q.s AS qs, q.e AS qe, c.s AS cs, c.e AS ce, q.e + (q.e - q.s) / 15 * 5 AS qo, c.e + (c.e - c.s) / 15 * 5 AS co, c.instrument = q.instrument AND c.e = q.e AS same FROM q, e c)
+      SELECT instrument, CASE WHEN same THEN 'SAME_QUERY' WHEN ce >= qe THEN 'FUTURE_OR_CONTEMPORARY' WHEN ce > qe - greatest(qe - qs, ce - cs) / 15 * 3 THEN 'EMBARGO_OR_TEMPORAL_DISTANCE' WHEN cs <= qe AND qs <= ce THEN 'SOURCE_OVERLAP'
+      WHEN cs <= qo AND qe <= ce THEN 'CANDIDATE_SOURCE_OVERLAPS_QUERY_OUTCOME' WHEN ce <= qe AND qs <= co THEN 'CANDIDATE_OUTCOME_OVERLAPS_QUERY_SOURCE' WHEN ce <= qo AND qe <= co THEN 'OUTCOME_OVERLAP' ELSE 'ELIGIBLE' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
+    "walk_forward_folds": f"""WITH {_WIN}, w AS (SELECT end_ts, row_number() OVER (ORDER BY end_ts) - 1 AS n FROM win WHERE instrument = 'click'), f AS (SELECT unnest([1, 2, 3])::INT AS fold)
+      SELECT fold, max(CASE WHEN n = 0 THEN end_ts END) AS index_start, max(CASE WHEN n = 4 + (fold - 1) * 3 THEN end_ts END) AS index_end, max(CASE WHEN n = 5 + (fold - 1) * 3 THEN end_ts END) AS test_start, max(CASE WHEN n = 7 + (fold - 1) * 3 THEN end_ts END) AS test_end FROM w, f GROUP BY fold""",
+    "row_validation": """WITH r AS (SELECT event_id AS row_no, event_type, CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 89 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts, value AS o, CASE WHEN event_id % 97 = 0 THEN value - 1 ELSE value + 1 END AS h,
+      value - 1 AS l, CASE WHEN event_id % 83 = 0 THEN NULL ELSE value END AS c, CASE WHEN event_id % 79 = 0 THEN -1.0 ELSE 1.0 END AS v FROM events),
+      x AS (SELECT *, row_number() OVER (PARTITION BY event_type, ts ORDER BY row_no) AS seen, last_value(ts IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+      e AS (SELECT row_no, concat_ws(',', CASE WHEN ts IS NULL THEN 'INVALID_TIMESTAMP' END, CASE WHEN ts IS NOT NULL AND seen > 1 THEN 'DUPLICATE_TIMESTAMP' END, CASE WHEN seen = 1 AND ts < before THEN 'OUT_OF_ORDER' END, CASE WHEN c IS NULL THEN 'NON_FINITE_CLOSE' END) AS first,
+        concat_ws(',', CASE WHEN least(o, h, l, c) <= 0 THEN 'NON_POSITIVE_PRICE' END, CASE WHEN v < 0 THEN 'NEGATIVE_VOLUME' END, CASE WHEN h < greatest(o, c, l) THEN 'HIGH_BELOW_PRICES' END, CASE WHEN l > least(o, c, h) THEN 'LOW_ABOVE_PRICES' END) AS second FROM x)
+      SELECT row_no, CASE WHEN first <> '' THEN first ELSE second END AS errors, first = '' AND second = '' AS accepted FROM e""",
+    "quality_profile": f"""WITH {_BARS.replace("'H4'", "'H1'").replace('4 hours', '1 hour')}, d AS (SELECT *, abs(close / lag(close) OVER s - 1) AS change, (epoch_us(ts) - epoch_us(lag(ts) OVER s)) / 1e6 AS delta FROM bars WINDOW s AS (PARTITION BY instrument ORDER BY ts)),
+      m AS (SELECT instrument, delta AS modal_delta FROM (SELECT instrument, delta, count(*) AS k FROM d WHERE delta IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY k DESC, delta) = 1),
+      p AS (SELECT d.instrument, timeframe, count(*) AS bars, min(ts) AS first_ts, max(ts) AS last_ts, any_value(modal_delta) AS modal_delta, count(*) FILTER (WHERE high < greatest(open, close, low) OR low > least(open, close, high)) AS invalid_ohlc,
+        count(*) FILTER (WHERE least(open, high, low, close) <= 0) AS non_positive, avg(CASE WHEN volume = 0 THEN 1.0 ELSE 0.0 END) AS empty_volume_rate, count(*) FILTER (WHERE change > 0.2) AS moves_over_20, count(*) FILTER (WHERE change > 0.45) AS moves_over_45, count(*) FILTER (WHERE change > 0.6) AS moves_over_60,
+        count(*) FILTER (WHERE delta > 3 * modal_delta) AS large_gaps, count(*) FILTER (WHERE delta > modal_delta) AS gaps FROM d JOIN m ON m.instrument = d.instrument GROUP BY 1, 2)
+      SELECT *, invalid_ohlc + non_positive AS hard_errors, CASE WHEN invalid_ohlc + non_positive > 0 AND bars <= invalid_ohlc + non_positive THEN 'REJECTED' WHEN invalid_ohlc + non_positive > 0 THEN 'MANUAL_REVIEW'
+        WHEN empty_volume_rate > 0 OR moves_over_20 > 0 OR large_gaps > 0 THEN 'ACCEPTED_WITH_WARNINGS' ELSE 'ACCEPTED' END AS decision FROM p""",
+    "significance": f"""WITH {_EVAL}, t AS (SELECT instrument AS test, count(*) FILTER (WHERE up) / count(*) / 2 AS p_value FROM ev GROUP BY 1), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, test) AS k FROM t)
+      SELECT test, round(p_value, 6) AS p_value, round(least(min(p_value * m / k) OVER (ORDER BY p_value, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS p_bh,
+      round(least(max(p_value * (m - k + 1)) OVER (ORDER BY p_value, test ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 6) AS p_holm FROM r""",
+    "prospective_fallback": f"""WITH {_LABELS}, c AS (SELECT *, CASE WHEN source_return > 0 THEN 'UP' ELSE 'DOWN' END AS trend, CASE WHEN abs(source_return) > 0.5 THEN 'HIGH' ELSE 'LOW' END AS volatility FROM labels_),
+      q AS (SELECT instrument, end_ts AS as_of, trend, volatility FROM c QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY end_ts DESC) <= 12),
+      s AS (SELECT q.instrument, q.as_of, q.trend, q.volatility, count(*) FILTER (WHERE h.trend = q.trend AND h.volatility = q.volatility) AS n1, count(*) FILTER (WHERE h.trend = q.trend) AS n2, count(h.end_ts) AS n3,
+        count(*) FILTER (WHERE h.trend = q.trend AND h.volatility = q.volatility AND h.simple_return > 0) AS k1, count(*) FILTER (WHERE h.trend = q.trend AND h.simple_return > 0) AS k2, count(*) FILTER (WHERE h.simple_return > 0) AS k3
+        FROM q LEFT JOIN c h ON h.instrument = q.instrument AND h.is_complete AND h.end_ts < q.as_of GROUP BY 1, 2, 3, 4)
+      SELECT instrument, CAST(5 AS INT) AS horizon, as_of, CASE WHEN n1 >= 30 THEN 'trend_volatility' WHEN n2 >= 30 THEN 'trend_only' ELSE 'unconditional' END AS level, CASE WHEN n1 >= 30 THEN n1 WHEN n2 >= 30 THEN n2 ELSE n3 END AS n,
+      round((CASE WHEN n1 >= 30 THEN k1 WHEN n2 >= 30 THEN k2 ELSE k3 END + 1) / (CASE WHEN n1 >= 30 THEN n1 WHEN n2 >= 30 THEN n2 ELSE n3 END + 2), 6) AS p, round(k3 / CASE WHEN n3 > 0 THEN n3 END, 6) AS baseline, greatest(n1, n2, n3) < 30 AS insufficient FROM s""",
+    "distance_deciles": f"""WITH {_NEAR}, d AS (SELECT n.instrument, n.q_end, n.c_end, n.distance, abs(n.x - o.simple_return) AS v FROM near n JOIN labels_ o ON o.instrument = n.instrument AND o.end_ts = n.q_end AND o.is_complete),
+      i AS (SELECT *, row_number() OVER (ORDER BY distance) - 1 AS i, count(*) OVER () AS m FROM d) SELECT CAST(least(i * 10 // m + 1, 10) AS INT) AS decile, count(*) AS n, round(min(distance), 6) AS low, round(max(distance), 6) AS high, round(avg(v), 6) AS mean_value FROM i GROUP BY 1""",
+    "provider_comparison": f"""WITH {_D1}, a AS (SELECT instrument, CAST(ts AS DATE) AS day, close FROM bars), b AS (SELECT instrument, day, close * CASE WHEN day(day) % 2 = 0 THEN 1.01 ELSE 1.0 END AS close FROM a WHERE day(day) <> 13),
+      m AS (SELECT a.instrument, a.day, a.close AS ca, b.close AS cb FROM a LEFT JOIN b ON b.instrument = a.instrument AND b.day = a.day),
+      r AS (SELECT *, ca / lag(ca) OVER w - 1 AS ra, cb / lag(cb) OVER w - 1 AS rb FROM m WHERE cb IS NOT NULL WINDOW w AS (PARTITION BY instrument ORDER BY day)),
+      t AS (SELECT instrument, count(*) AS common_days, corr(ra, rb) AS return_correlation, quantile_cont(abs(ca - cb), 0.5) AS median_abs_diff, quantile_cont(abs(ca - cb), 0.95) AS p95_abs_diff, quantile_cont(ca / cb, 0.5) AS scale_ratio FROM r GROUP BY 1)
+      SELECT m.instrument, count(*) FILTER (WHERE cb IS NULL) AS only_a, CAST(0 AS BIGINT) AS only_b, common_days, round(return_correlation, 4) AS return_correlation, round(median_abs_diff, 4) AS median_abs_diff, round(p95_abs_diff, 4) AS p95_abs_diff,
+      round(scale_ratio, 4) AS scale_ratio, CASE WHEN coalesce(return_correlation, 0) < 0.85 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS verdict FROM m JOIN t ON t.instrument = m.instrument GROUP BY ALL""",
+}
+ORACLE_SQL["forecast_evaluation"] = f"""WITH f AS ({ORACLE_SQL['prospective_fallback']}), o AS ({ORACLE_SQL['outcome_labels'].replace('simple_return + 0.0, 6', 'simple_return + 0.0, 12')}),
+  m AS (SELECT f.*, o.simple_return > 0 AS up FROM f JOIN o ON o.instrument = f.instrument AND o.end_ts = f.as_of AND o.is_complete)
+  SELECT horizon, count(*) AS n, round(avg(CAST((p >= 0.5) = up AS INT)), 6) AS accuracy, round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg((baseline - up::INT) * (baseline - up::INT)), 6) AS brier_baseline,
+  round(1 - avg((p - up::INT) * (p - up::INT)) / avg((baseline - up::INT) * (baseline - up::INT)), 6) AS skill FROM m GROUP BY horizon""".replace(", 6) AS p,", ", 15) AS p,").replace(", 6) AS baseline", ", 15) AS baseline")
+ORACLE_SQL |= {f"norm_{m}": _norm_sql(e) for m, e in _NORMS.items()}
