@@ -67,4 +67,4 @@ def resample(a: Column, points: int, method: str = "linear") -> Column:
         out = x + (y - x) * (place(i) - k)
         return F.when(i == points - 1, last(a)).when(F.abs(out) <= 1e-15, 0.0).otherwise(out)
 
-    return F.when(n < 2, F.lit(None)).when(n == points, a).otherwise(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), value))
+    return F.when(a.isNull() | (n < 2), F.lit(None)).when(n == points, a).otherwise(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), value))
