@@ -8,7 +8,7 @@ and compounded), chosen on the training labels by their smoothed log-odds.
 Training takes a bounded number of labelled documents (TRAIN_DOCS, by a hash of doc_id) outside the held-out third; its word
 counts are summed on the executors, at most FEATURES of them and the sample's few features a sentence reach the driver.
 
-Rows: null and empty texts are one sentence without features. Without labels of both kinds every score is 0. Repeated rows
+Rows: null and empty texts are one sentence without features. Without labels of both kinds every score is 0 (below 1e-300). Repeated rows
 give one row each; a document with several labels counts as toxic if any of them is 1.
 """
 
