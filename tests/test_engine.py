@@ -44,12 +44,12 @@ def test_gaps_are_flagged_on_a_continuous_calendar_only(spark):
     assert windows.sliding_windows(bars, (4,), seconds=3600, calendar="session_based").where("missing_bars > 0").count() == 0
 
 
-def test_spread_series_gives_the_same_windows(spark):
-    bars = make_bars(spark, range(100, 140))
-    dealt = windows.spread_series(bars, 10, 3).withColumn("instrument", F.concat_ws("#", "instrument", "chunk"))
-    got = windows.sliding_windows(dealt.select(*bars.columns), (4,), seconds=3600).select(F.to_json("bars").alias("b")).distinct()
-    whole = windows.sliding_windows(bars, (4,), seconds=3600).select(F.to_json("bars").alias("b"))
-    assert {r.b for r in whole.collect()} <= {r.b for r in got.collect()}
+@pytest.mark.parametrize("chunk", [1, 7, 10, 100])
+def test_series_in_chunks_give_the_same_windows(spark, chunk):
+    bars = make_bars(spark, range(100, 140), skip=(11, 20, 21)).union(make_bars(spark, range(50, 75)).withColumn("instrument", F.lit("Y"))).repartition(3)
+    whole = windows.sliding_windows(bars, (4, 8), 3, 2, seconds=3600)
+    dealt = windows.sliding_windows(bars, (4, 8), 3, 2, seconds=3600, chunk=chunk)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, dealt.select(*whole.columns).collect()))
 
 
 @pytest.mark.parametrize("horizon,future,expected", [

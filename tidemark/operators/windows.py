@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
 LENGTHS = (8, 16, 32, 64, 128, 256)
 BAR = ("ts", "open", "high", "low", "close", "volume")
 SERIES = ("instrument", "timeframe")
@@ -15,41 +17,53 @@ def expected_windows(n: int, length: int, stride: int = 1) -> int:
     return (n - length) // stride + 1 if n >= length else 0
 
 
-def spread_series(bars: DataFrame, chunk: int, reach: int) -> DataFrame:
-    """Deals each series over tasks: chunks of `chunk` bars, each with the `reach` bars before and after it as guests.
+def number_bars(bars: DataFrame) -> DataFrame:
+    """bars with bar_no, from 1 in each series, without a task that holds a series: a range sort, and the sizes of its parts summed."""
+    df = bars.repartitionByRange(*SERIES, "ts").sortWithinPartitions(*SERIES, "ts").withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    df = written(df, "bars")  # numbers and sizes must come from the same parts
+    sizes = df.groupBy(*SERIES, "_p").agg(F.count("*").alias("_c"), F.min("_m").alias("_first"))
+    before = F.sum("_c").over(Window.partitionBy(*SERIES).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    at = sizes.withColumn("_base", F.coalesce(before, F.lit(0))).drop("_c")
+    return df.join(at, [*SERIES, "_p"]).withColumn("bar_no", F.col("_base") + F.col("_m") - F.col("_first") + 1).drop("_p", "_m", "_base", "_first")
+
+
+def spread_series(bars: DataFrame, chunk: int, before: int, after: int) -> DataFrame:
+    """Deals each series over tasks: chunks of `chunk` bars, each with the bars that its frames reach before and after it as guests.
 
-    With few series and many bars a window over a series is one task; over (series, chunk) it is many. Columns added: bar_no (from
-    1 in the series), chunk, own (false for guests).
+    With few series and very many bars a window over a series is one task; over (series, chunk) it is many, for
+    (before + after) / chunk more rows. Columns added: bar_no, chunk, own (false for guests).
     """
-    w = Window.partitionBy(*SERIES).orderBy("ts")
-    n = bars.withColumn("bar_no", F.row_number().over(w))
-    first = F.floor(F.greatest(F.col("bar_no") - 1 - reach, F.lit(0)) / chunk).cast("int")
-    final = F.floor((F.col("bar_no") - 1 + reach) / chunk).cast("int")
-    home = F.floor((F.col("bar_no") - 1) / chunk).cast("int")
-    return n.withColumn("chunk", F.explode(F.sequence(first, final))).withColumn("own", F.col("chunk") == home)
+    n = F.col("bar_no") - 1
+    first = F.floor(F.greatest(n - after, F.lit(0)) / chunk)
+    final = F.floor((n + before) / chunk)
+    df = number_bars(bars).withColumn("chunk", F.explode(F.sequence(first, final)))
+    return df.withColumn("own", F.col("chunk") == F.floor(n / chunk))
 
 
-def _gap(seconds: Column) -> Column:
-    w = Window.partitionBy(*SERIES).orderBy("ts")
+def _gap(seconds: Column, keys: tuple[str, ...]) -> Column:
+    w = Window.partitionBy(*keys).orderBy("ts")
     step = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
     return F.greatest(F.floor(step / (F.lit(1_000_000).cast("long") * seconds)) - 1, F.lit(0).cast("long"))
 
 
-def sliding_windows(bars: DataFrame, lengths: tuple[int, ...] = (16,), stride: int = 1, horizon: int = 0, calendar: str = "continuous", seconds: int = 14400, gap_ratio: float = 0.0) -> DataFrame:
+def sliding_windows(bars: DataFrame, lengths: tuple[int, ...] = (16,), stride: int = 1, horizon: int = 0, calendar: str = "continuous", seconds: int = 14400, gap_ratio: float = 0.0, chunk: int | None = None) -> DataFrame:
     """Every window of the given lengths, with its bars as an array, and with horizon the bars behind it as `future`.
 
     One sort serves all lengths: a frame of the longest is cut to each shorter one. A window sees its own bars only. Flags:
     UNKNOWN_CALENDAR, NULL_VOLUME, ZERO_VOLUME, INVALID_OHLC, and on a continuous calendar MISSING_BARS and EXTREME_GAP; NONE
-    without any. The source hash depends on the window's bars alone.
+    without any. The source hash depends on the window's bars alone. chunk: the bars of a series that one task takes (see
+    spread_series); without it a series is one task.
     """
     lengths = tuple(sorted(set(lengths)))
-    w = Window.partitionBy(*SERIES).orderBy("ts")
+    keys = (*SERIES, "chunk") if chunk else SERIES
+    w = Window.partitionBy(*keys).orderBy("ts")
     bar = F.struct(*BAR, F.col("_gap").alias("gap"))
-    df = bars.withColumn("_gap", _gap(F.lit(seconds))).withColumn("bar_no", F.row_number().over(w))
+    df = spread_series(bars, chunk, lengths[-1], horizon) if chunk else bars.withColumn("bar_no", F.row_number().over(w)).withColumn("own", F.lit(True))
+    df = df.withColumn("_gap", _gap(F.lit(seconds), keys))
     df = df.withColumn("_bars", F.collect_list(bar).over(w.rowsBetween(-(lengths[-1] - 1), 0)))
     if horizon:
         df = df.withColumn("future", F.collect_list(F.struct(*BAR)).over(w.rowsBetween(1, horizon)))
-    df = df.withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).where("bar_no >= length").where((F.col("bar_no") - F.col("length")) % stride == 0)
+    df = df.where("own").withColumn("length", F.explode(F.array(*map(F.lit, lengths)))).where("bar_no >= length").where((F.col("bar_no") - F.col("length")) % stride == 0)
     df = df.withColumn("bars", F.slice("_bars", -F.col("length"), F.col("length")))
     b = F.col("bars")
     any_bar = lambda test: F.exists(b, test)
