@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
-from tidemark.operators import context, diagnostics, features, normalize, outcomes, prospective, similarity, validation, windows
+from tidemark.operators import context, diagnostics, features, normalize, outcomes, prospective, similarity, studies, validation, windows
 from tidemark.plans import catalog
 from tidemark.sources import bars as B
+from tidemark.sources import providers
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "instrument string, timeframe string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -229,6 +230,28 @@ def test_forecasts_mature_once(spark):
     assert prospective.evaluate(m, ["horizon"]).first().n == 2
 
 
+def test_verdicts(spark):
+    lit = lambda **k: {n: F.lit(v) for n, v in k.items()}
+    good = dict(sufficient=True, skill=0.1, context_skill=0.1, consistent=True, diverse=True, single=False, calibrated=True, low=0.01, independent=True)
+    cases = [({}, "REPLICATION_SUPPORTED"), ({"low": -0.1}, "REPLICATION_PARTIAL"), ({"skill": -0.1}, "REPLICATION_NOT_SUPPORTED"), ({"sufficient": False}, "REPLICATION_INCONCLUSIVE"), ({"single": True}, "REPLICATION_PARTIAL")]
+    row = spark.range(1).select(*(studies.replication_verdict(lit(**(good | c))).alias(f"v{k}") for k, (c, _) in enumerate(cases))).first()
+    assert list(row) == [v for _, v in cases]
+    p = lambda *a: studies.experiment_verdict(*map(F.lit, a))
+    assert list(spark.range(1).select(p(20, 0.1, 0.6, -1.0).alias("a"), p(5, 0.1, 0.6, 1.0).alias("b"), p(60, 0.1, 0.6, 0.01).alias("c"), p(60, 0.0, 0.6, 0.01).alias("d")).first()) == ["PROMISING", "INSUFFICIENT_DATA", "OUT_OF_SAMPLE_SUPPORTED", "NO_SUPPORTED_EDGE"]
+    q = lambda n, s, low: studies.prospective_verdict(F.lit(n), F.lit(s), F.lit(low))
+    assert spark.range(1).select(q(10, 0.1, 0.1).alias("a"), q(200, 0.1, 0.1).alias("b"), q(40, 0.1, 0.1).alias("c")).first()["b"] == "PROSPECTIVE_CONTEXT_SIGNAL_SUPPORTED"
+
+
+def test_provider_payloads(spark):
+    text = '{"Meta Data": {"1": "x"}, "Time Series (Digital Currency Daily)": {"2024-01-02": {"1a. open (EUR)": "9", "1b. open (USD)": "1", "2. high": "3", "3. low": "0.5", "4. close": "2", "5. volume": "7"}, "soon": {"1. open": "1"}, "2024-01-01": {"1. open": "1", "2. high": "1", "3. low": "1", "4. close": "4", "5. volume": "oops"}}}'
+    df = spark.createDataFrame([("X", "crypto", text), ("Y", "forex", text), ("Z", "index", None), ("W", "index", "{}")], "instrument string, asset_class string, payload string")
+    got = sorted((r.instrument, r.ts.day, r.open, r.high, r.low, r.close, r.volume) for r in providers.nested_bars(df).collect())
+    assert got == [("X", 1, 1, 4, 1, 4, 0), ("X", 2, 1, 3, 0.5, 2, 7), ("Y", 1, 1, 4, 1, 4, 0), ("Y", 2, 1, 3, 0.5, 2, 0)]
+    assert providers.accept(providers.nested_bars(df)).count() == 0
+    with pytest.raises(ValueError):
+        providers.read_manifest(spark, '{"datasets": [{"symbol": "X"}]}')
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()

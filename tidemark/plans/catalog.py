@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import context, diagnostics, features, normalize, outcomes, prospective, similarity, validation, windows
+from ..operators import context, diagnostics, features, normalize, outcomes, prospective, similarity, studies, validation, windows
 from ..sources import bars as B
+from ..sources import providers
 
 LENGTH = 16
 SERIES = ["instrument", "timeframe"]
@@ -278,8 +279,47 @@ def forecast_evaluation(spark, sf_dir):
     return _r(prospective.evaluate(prospective.mature(forecasts, history), ["horizon"]))
 
 
-_PICK = ["bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
+def _baseline(name: str):
+    def query(spark, sf_dir):
+        """Ten candidates of the last windows of each instrument, by a baseline's rule."""
+        history, queries = _prospective_inputs(spark, sf_dir)
+        c = history.where("is_complete").select("horizon", F.concat_ws("@", "instrument", "end_ts").alias("c_id"), F.col("instrument").alias("c_instrument"), F.col("end_ts").alias("c_end"), F.col("trend").alias("c_trend"), F.col("volatility").alias("c_volatility"))
+        q = queries.select("horizon", F.concat_ws("@", "instrument", "as_of").alias("q_id"), F.col("instrument").alias("q_instrument"), "as_of", F.col("trend").alias("q_trend"), F.col("volatility").alias("q_volatility"))
+        return studies.baseline(q.join(c, "horizon").where("c_end < as_of"), name, 10).select("q_id", "c_id", "rank")
+
+    return query
+
+
+def loss_summaries(spark, sf_dir):
+    e = _evaluations(spark, sf_dir).withColumn("month", F.date_format("end_ts", "yyyy-MM"))
+    return _r(studies.summaries(e, [["instrument", "month"], ["instrument"], ["month"], []]))
+
+
+def experiment_verdicts(spark, sf_dir):
+    m = validation.metrics(_evaluations(spark, sf_dir), ["instrument"])
+    return m.select("instrument", "n", studies.experiment_verdict(F.col("n"), F.col("brier_skill_score"), F.col("direction_accuracy"), F.lit(-1.0)).alias("verdict"))
+
+
+def run_timing(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 40 = 7")
+    return studies.timing(e.select(F.col("ts").alias("at"), F.col("event_type").alias("instrument"), (F.col("value") > 100).alias("new_bar"), (F.col("event_id") % 3 != 0).alias("reachable")))
+
+
+def provider_payloads(spark, sf_dir):
+    """Daily bars through a provider's nested JSON and back."""
+    b = B.order_bars(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    fields = F.create_map(F.lit("1. open"), text("open"), F.lit("2. high"), text("high"), F.lit("3. low"), text("low"), F.lit("4. close"), text("close"), F.lit("5. volume"), text("volume"))
+    day = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("k"), fields.alias("v"))
+    payload = b.groupBy("instrument").agg(F.to_json(F.create_map(F.lit("Time Series (Daily)"), F.map_from_entries(F.collect_list(day)))).alias("payload"))
+    got = providers.nested_bars(payload.withColumn("asset_class", F.when(F.col("instrument") == "1-URGENT", "forex").otherwise("index")))
+    return _r(got.select("instrument", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume"))
+
+
+_PICK = ["loss_summaries", "experiment_verdicts", "run_timing", "provider_payloads", "bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
 QUERIES = {name: globals()[name] for name in _PICK} | {f"norm_{m}": _norm(m) for m in normalize.METHODS}
+BASELINES = ("random_history_v1", "same_instrument_random_v1", "same_volatility_random_v1", "unconditional_outcome_v1")
+QUERIES |= {f"baseline_{m.removesuffix('_v1')}": _baseline(m) for m in BASELINES}
 
 _RET = "list_transform(range(2, 17), lambda i: ln(c[i] / c[i - 1]))"
 _BARRIER = """CASE WHEN len(fc) = 0 THEN 'UNAVAILABLE' WHEN u{0} IS NULL AND d{0} IS NULL THEN 'NEITHER' WHEN d{0} IS NULL THEN 'UPPER_FIRST' WHEN u{0} IS NULL THEN 'LOWER_FIRST'
@@ -395,3 +435,21 @@ ORACLE_SQL["forecast_evaluation"] = f"""WITH f AS ({ORACLE_SQL['prospective_fall
   SELECT horizon, count(*) AS n, round(avg(CAST((p >= 0.5) = up AS INT)), 6) AS accuracy, round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg((baseline - up::INT) * (baseline - up::INT)), 6) AS brier_baseline,
   round(1 - avg((p - up::INT) * (p - up::INT)) / avg((baseline - up::INT) * (baseline - up::INT)), 6) AS skill FROM m GROUP BY horizon""".replace(", 6) AS p,", ", 15) AS p,").replace(", 6) AS baseline", ", 15) AS baseline")
 ORACLE_SQL |= {f"norm_{m}": _norm_sql(e) for m, e in _NORMS.items()}
+
+_BASE = f"""WITH {_LABELS}, c AS (SELECT instrument, end_ts, is_complete, CASE WHEN source_return > 0 THEN 'UP' ELSE 'DOWN' END AS trend, CASE WHEN abs(source_return) > 0.5 THEN 'HIGH' ELSE 'LOW' END AS volatility FROM labels_),
+  q AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY end_ts DESC) <= 12),
+  p AS (SELECT q.instrument || '@' || CAST(q.end_ts AS VARCHAR) AS q_id, h.instrument || '@' || CAST(h.end_ts AS VARCHAR) AS c_id, h.end_ts AS c_end FROM q JOIN c h ON h.is_complete AND h.end_ts < q.end_ts WHERE @)
+  SELECT q_id, c_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY #) AS INT) AS rank FROM p QUALIFY rank <= 10"""
+_RULES = {"random_history": "true", "same_instrument_random": "q.instrument = h.instrument", "same_volatility_random": "q.volatility = h.volatility"}
+ORACLE_SQL |= {f"baseline_{k}": _BASE.replace("@)", f"{rule})").replace("WHERE @", f"WHERE {rule}").replace("#", f"sha256('1|' || q_id || '|{k}_v1|' || c_id)") for k, rule in _RULES.items()}
+ORACLE_SQL |= {
+    "baseline_unconditional_outcome": _BASE.replace("WHERE @", "WHERE true").replace("#", "c_end, c_id"),
+    "loss_summaries": f"""WITH {_EVAL}, m AS (SELECT *, strftime(q_end, '%Y-%m') AS month FROM ev) SELECT instrument, month, CAST(2 * grouping(instrument) + grouping(month) AS BIGINT) AS grouping, count(*) AS n,
+      round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg(abs(actual - predicted)), 6) AS mae FROM m GROUP BY GROUPING SETS ((instrument, month), (instrument), (month), ())""",
+    "experiment_verdicts": f"""WITH m AS ({ORACLE_SQL['validation_metrics']}) SELECT instrument, n, CASE WHEN n < 10 THEN 'INSUFFICIENT_DATA' WHEN brier_skill_score <= 0 OR direction_accuracy <= 0.5 THEN 'NO_SUPPORTED_EDGE' ELSE 'PROMISING' END AS verdict FROM m""",
+    "run_timing": """WITH o AS (SELECT ts, event_type AS instrument, value > 100 AS new_bar FROM events WHERE user_id % 40 = 7 AND event_id % 3 <> 0), f AS (SELECT instrument, min(CASE WHEN new_bar THEN strftime(ts, '%H:%M') END) AS e FROM o GROUP BY 1),
+      d AS (SELECT count(DISTINCT CASE WHEN isodow(ts) <= 5 THEN CAST(ts AS DATE) END) AS weekdays, count(DISTINCT CASE WHEN isodow(ts) > 5 THEN CAST(ts AS DATE) END) AS weekend_days FROM o), s AS (SELECT max(e) AS slowest, count(*) FILTER (WHERE e IS NULL) AS silent, count(*) AS instruments FROM f)
+      SELECT weekdays, weekend_days, instruments, silent, CASE WHEN weekdays >= 5 AND silent = 0 AND instruments > 0 THEN lpad(CAST((CAST(slowest[1:2] AS INT) + 2) % 24 AS VARCHAR), 2, '0') || slowest[3:5] END AS safe_time,
+      CASE WHEN weekdays >= 5 AND silent = 0 AND instruments > 0 THEN 'SCHEDULER_TIMING_VALIDATED' ELSE 'SCHEDULER_TIMING_NOT_YET_VALIDATED' END AS status FROM d, s""",
+    "provider_payloads": f"""WITH {_D1} SELECT instrument, CAST(ts AS TIMESTAMP) AS ts, {_R6('open', 'high', 'low', 'close')}, CASE WHEN instrument = '1-URGENT' THEN CAST(0 AS DOUBLE) ELSE volume END AS volume FROM bars""",
+}
