@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import validation
 
@@ -31,18 +32,17 @@ def fallback(queries: DataFrame, history: DataFrame, least: int = 30, strict_as_
     """For each query (instrument, horizon, trend, volatility, as_of) the share of rising outcomes at the first level with `least` rows.
 
     history: instrument, horizon, end_ts, trend, volatility, is_complete, simple_return, and known_at (when an outcome was known)
-    with strict_as_of; without it a window counts once it ended, as if its outcome were known at once. One pass: an equality join
-    on (instrument, horizon), counted by level before anything else.
+    with strict_as_of; without it a window counts once it ended, as if its outcome were known at once. History and queries are
+    one timeline with running counts: one shuffle by (instrument, horizon), nothing grows with queries times history.
     """
-    h = history.where("is_complete").select("instrument", "horizon", F.col("end_ts").alias("h_end"), F.col("trend").alias("h_trend"), F.col("volatility").alias("h_vol"), "simple_return", *(["known_at"] if strict_as_of else []))
-    past = F.col("h_end") < F.col("as_of")
-    if strict_as_of:
-        past = past & (F.col("known_at") <= F.col("as_of"))
-    joined = queries.join(h, ["instrument", "horizon"], "left")
-    up = F.col("simple_return") > 0
-    match = {"trend_volatility": past & (F.col("h_trend") == F.col("trend")) & (F.col("h_vol") == F.col("volatility")), "trend_only": past & (F.col("h_trend") == F.col("trend")), "unconditional": past}
-    counts = [c for k, name in enumerate(LEVELS) for c in (F.count_if(match[name]).alias(f"n{k}"), F.count_if(match[name] & up).alias(f"k{k}"))]
-    df = joined.groupBy("instrument", "horizon", "as_of", "trend", "volatility").agg(*counts)
+    # At one time a query stands before a window that ends then (its end must be earlier), but behind an outcome known then.
+    seen = history.where("is_complete").select("instrument", "horizon", F.col("known_at" if strict_as_of else "end_ts").alias("as_of"), F.lit(0 if strict_as_of else 2).alias("_kind"), "trend", "volatility", F.lit(1).alias("_n"), F.coalesce((F.col("simple_return") > 0).cast("int"), F.lit(0)).alias("_k"))
+    asked = queries.select("instrument", "horizon", "as_of", F.lit(1).alias("_kind"), "trend", "volatility", F.lit(0).alias("_n"), F.lit(0).alias("_k")).distinct()
+    df = seen.unionByName(asked)
+    for i, more in ((2, []), (1, ["trend"]), (0, ["trend", "volatility"])):
+        w = Window.partitionBy("instrument", "horizon", *more).orderBy("as_of", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumns({f"n{i}": F.coalesce(F.sum("_n").over(w), F.lit(0)), f"k{i}": F.coalesce(F.sum("_k").over(w), F.lit(0))})
+    df = df.where("_kind = 1")
     pick = lambda p: F.when(F.col("n0") >= least, p(0)).when(F.col("n1") >= least, p(1)).otherwise(p(2))
     n, k = pick(lambda i: F.col(f"n{i}")), pick(lambda i: F.col(f"k{i}"))
     return df.select("instrument", "horizon", "as_of", pick(lambda i: F.lit(LEVELS[i])).alias("level"), n.alias("n"), smoothed(k, n).alias("p"), F.try_divide(F.col("k2"), F.col("n2")).alias("baseline"), (F.greatest("n0", "n1", "n2") < least).alias("insufficient"))
