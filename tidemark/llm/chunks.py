@@ -45,7 +45,7 @@ class ChunkEncoder:
     numpy. split gives a string's tokens, encode the ids of each of a list of tokens.
     """
 
-    def __init__(self, split: Callable[[str], Iterable[str]], encode: Callable[[list[str]], list[array]], tokens: int = 400_000):
+    def __init__(self, split: Callable[[str], Iterable[str]], encode: Callable[[list[str]], list[array]], tokens: int = 200_000):
         self.split, self.ask, self.tokens = split, encode, Memo(tokens)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

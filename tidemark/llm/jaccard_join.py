@@ -48,12 +48,19 @@ LIST_ROWS, STAR = 2000, 32
 #: Pairs in a block of the T-occurrence search, and ids up to which a join with the documents is a broadcast (16 bytes each).
 BLOCK_PAIRS, BROADCAST_IDS = 2000, 200_000
 MU = 0.0085
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+#: Odd multipliers of a shingle's words, which are 64-bit hashes already.
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
+_FINAL = np.uint64(0xFF51AFD7ED558CCD)
+_SHIFT = np.uint64(32)
+
+
+#: Word hashes and set keys that a worker remembers.
+WORD_HASHES, SEEN_KEYS = 100_000, 100_000
 
 
 class _WordHash(dict):
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) >= WORD_HASHES:
             self.clear()
         got = self[word] = xxhash.xxh64_intdigest(word)
         return got
@@ -70,12 +77,19 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     h = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(size, len(h))
     n = len(h) - width + 1
-    s = np.full(n, width, dtype=np.uint64)
-    for k in range(width):
-        s = (s ^ (s >> np.uint64(29)) ^ h[k : k + n]) * _MIX[0]
-        s = (s ^ (s >> np.uint64(32))) * _MIX[1]
-    s ^= s >> np.uint64(31)
-    return np.unique(s.view(np.int64))
+    s = h[:n] * _MIX[0]
+    for k in range(1, width):
+        s += h[k : k + n] * (_MIX[k % 5] + np.uint64(2 * (k // 5)))
+    s += np.uint64(width)
+    s ^= s >> _SHIFT
+    s *= _FINAL
+    s ^= s >> _SHIFT
+    s = s.view(np.int64)
+    s.sort()
+    new = np.empty(n, dtype=bool)
+    new[0] = True
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
 
 
 def set_key(s: np.ndarray) -> bytes:
@@ -144,7 +158,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k not in seen:
                 seen.add(k)
                 repeats.add(s)
-        if len(seen) > 500_000:
+        if len(seen) > SEEN_KEYS:
             seen.clear()
         yield pa.RecordBatch.from_pydict({"doc_id": ids, "n": pa.array(map(len, sets), pa.int64()), "key": pa.array(map(short_key, keys), pa.int64()), "parity": pa.array(map(parity, sets), pa.binary()), "hot": pa.nulls(len(ids), longs), "hot_n": pa.nulls(len(ids), longs)})
     tokens, counts = repeats.top(TASK_HOT)
@@ -342,10 +356,18 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, marked for a broadcast if they are at most BROADCAST_IDS rows of a few words each."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that can link by their bitmaps."""
+    pairs = written(pairs, "jaccard-pairs")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "jaccard-ends")
+    mine = written(classes.join(_few(ends), "key").select("key", "n", "parity"), "jaccard-bitmaps")
     for k in "ab":
-        pairs = pairs.join(classes.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")), k)
+        pairs = pairs.join(mine.select(F.col("key").alias(k), F.col("n").alias(f"n_{k}"), F.col("parity").alias(f"parity_{k}")), k)
     return pairs.select("a", "b", "n_a", "n_b", "parity_a", "parity_b").mapInArrow(_alike, "a long, b long")
 
 
@@ -374,10 +396,10 @@ def linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     sides = sides.select(F.when(a_indexed, F.col("a")).otherwise(F.col("b")).alias("i"), F.when(a_indexed, F.col("b")).otherwise(F.col("a")).alias("q"))
     block = F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int")
     places = sides.select(block.alias("block"), F.explode(F.array(F.struct(F.col("i").alias("key"), F.lit(0).alias("role")), F.struct(F.col("q").alias("key"), F.lit(1).alias("role")))).alias("x")).select("block", "x.*").distinct()
-    wanted = written(places.groupBy("key").agg(F.collect_list(F.struct("block", "role")).alias("places")).join(classes.select("key", F.col("rep").alias("doc_id")), "key"), "jaccard-wanted")
-    if wanted.count() <= BROADCAST_IDS and places.count() <= 4 * BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").select("key", "text", F.explode("places").alias("p")).select("key", "text", "p.*")
+    places = written(places, "jaccard-places")
+    wanted = places.select("key").distinct().join(classes.select("key", F.col("rep").alias("doc_id")), "key")
+    near = docs.select("doc_id", "text").join(_few(written(wanted, "jaccard-wanted")), "doc_id").select("key", "text")
+    texts = near.join(_few(places), "key").select("key", "text", "block", "role")
     return texts.groupBy("block").applyInArrow(_search, "a long, b long").distinct()
 
 
@@ -443,7 +465,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     if not first.isEmpty():
         links = written(linked(first, docs, classes), "jaccard-star-links")
         roots = components(links)
-        lists = lists.join(roots, "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
+        lists = lists.join(_few(roots), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
     else:
         lists = lists.withColumn("comp", F.col("key"))
     lists = lists.withColumn("guest", F.lit(False))

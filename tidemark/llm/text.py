@@ -51,6 +51,7 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., dict[
         for batch in batches:
             got = work(*(c if arrow else c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -63,5 +64,6 @@ def keep_rows(df: DataFrame, columns: list[str], start: Callable[[], Callable[..
         keep = start()
         for batch in batches:
             yield batch.filter(pa.array(keep(*(batch.column(c).to_pylist() for c in columns)), pa.bool_()))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, df.schema)

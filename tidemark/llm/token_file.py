@@ -17,32 +17,39 @@ doc_id stand together in no set order.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ..session import shared_path
-from .text import small_batches
+from .chunks import ChunkEncoder
+from .text import small_batches, utf8
 
-MEMO, MEMO_CHARS = 400_000, 64
 END_ID = 0
+#: The letters that byte-level models write for bytes: a printable byte is itself, the others follow from 256 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_LETTERS_OF_SPACE = chr(_LETTERS[32])
 MANIFEST = "shard long, path string, n_docs long, n_tokens long"
 SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-class ChunkEncoder:
-    """The tokenizers library, asked once for each distinct chunk.
+class LibraryEncoder:
+    """The tokenizers library, asked for each distinct token or chunk that the memos don't hold.
 
-    For a byte-level model without normaliser or prefix space a text can be cut before single spaces (see bpe.encode); texts
-    where spaces stand together or at the end, or that hold a string of an added token, go to the library whole.
+    Texts are cut only for a byte-level model without normaliser or prefix space; a text that holds a string of an added token
+    goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -50,6 +57,7 @@ class ChunkEncoder:
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
@@ -57,33 +65,53 @@ class ChunkEncoder:
         pre = spec.get("pre_tokenizer") or {}
         self.whole = not (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer"))
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        assert sys.byteorder == "little"
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        texts = [t or "" for t in texts]
-        whole = [k for k, t in enumerate(texts) if self.whole or "  " in t or t[-1:] == " " or any(a in t for a in self.added)]
-        done = dict(zip(whole, self._ask([texts[k] for k in whole])))
-        cut = {k: [" " + p if i else p for i, p in enumerate(t.split(" "))] for k, t in enumerate(texts) if k not in done}
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({p for parts in cut.values() for p in parts} - self.memo.keys())
-        memo = self.memo
-        memo.update(zip(new, self._ask(new)))
-        for k, parts in cut.items():
-            done[k] = b"".join(map(memo.__getitem__, parts))
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del memo[p]
-        return [done[k] for k in range(len(texts))]
+        self.words = None
+        if not self.whole:
+            self.words = Tokenizer(self.tokenizer.model)
+            self.words.pre_tokenizer = CharDelimiterSplit("\n")
+            self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(_LETTERS_OF_SPACE) for i in range(self.tokenizer.get_vocab_size())])
+        self.encoder = ChunkEncoder(lambda text: (text,), self._ask)
+
+    def _whole(self, texts: list[str]) -> list[array]:
+        return [array("I", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask(self, texts: list[str]) -> list[array]:
+        """Tokens of letters need no splitting: many of them, written as the bytes' letters, are one call of the library's model.
+
+        Each of them begins with the space's letter and has no other, so the ids that begin with it begin a token.
+        """
+        if self.words is None:
+            return self._whole(texts)
+        plain = [t for t in texts if t[:1] == " " and t[1:].isalpha()]
+        lines = ["\n".join([utf8(t).decode("latin-1").translate(_LETTERS) for t in plain[k : k + 500]]) for k in range(0, len(plain), 500)]
+        ids = array("I")
+        for e in self.words.encode_batch_fast(lines, add_special_tokens=False):
+            ids.extend(e.ids)
+        begins = np.flatnonzero(self.begins[np.array(ids, dtype=np.int64)]).tolist()
+        found = dict(zip(plain, [ids[a:z] for a, z in zip(begins, [*begins[1:], len(ids)])]))
+        rest = [t for t in texts if t not in found]
+        found.update(zip(rest, self._whole(rest)))
+        return list(map(found.__getitem__, texts))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in order, and one more offset than texts."""
+        whole = np.full(len(texts), self.whole)
+        for a in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, a), False).to_numpy(zero_copy_only=False)
+        if not whole.any():
+            return self.encoder.encode(texts)
+        ids, offsets = self.encoder.encode(pc.if_else(pa.array(whole), "", texts))
+        parts = [ids[a:z] for a, z in zip(offsets[:-1], offsets[1:])]
+        for k, got in zip(np.flatnonzero(whole), self._whole(texts.filter(pa.array(whole)).to_pylist())):
+            parts[k] = np.array(got, dtype=np.uint32)
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> ChunkEncoder:
-    return ChunkEncoder(path)
+def encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -96,16 +124,15 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = END_ID)
 
     def run(batches):
         own, shard = encoder(path), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype=own.dtype).tobytes()
         fs, to = _open(f"{folder}/{shard:06d}-{uuid.uuid4().hex}")
         fs.create_dir(to)
         sizes, ids, known = [], [], []
         with fs.open_output_stream(f"{to}/ids.bin") as out:
             for batch in batches:
-                names, texts = batch.column(0), batch.column(1).to_pylist()
-                for packed in own.encode(texts):
-                    out.write(packed + end)
-                    sizes.append(len(packed) // own.dtype.itemsize + 1)
+                names = batch.column(0)
+                got, offsets = own.encode(batch.column(1))
+                out.write(np.insert(got.astype(own.dtype), offsets[1:], end_id).tobytes())
+                sizes += (np.diff(offsets) + 1).tolist()
                 ids.append(names.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 known.append(names.is_valid().to_numpy(zero_copy_only=False).astype("u1"))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("<i8")

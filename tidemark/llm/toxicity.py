@@ -47,7 +47,7 @@ def features(word: str) -> tuple[str, ...]:
 class _Known(dict):
     """word -> numbers of its features; remembers at most LIMIT words."""
 
-    LIMIT = 300_000
+    LIMIT = 100_000
 
     def __init__(self, names: list[str]):
         self.at = {f: k for k, f in enumerate(names)}
