@@ -213,6 +213,13 @@ def test_lm_prefers_order(spark):
     assert one[0].tolist() == [7, 8, 9] and one[1].tolist() == [[0, 0, 8, 0], [0, 7, 0, 0], [0, 0, 0, 0]]
 
 
+def test_lm_trains_on_every_row(spark):
+    first = lm_score.first_parameters()
+    for doc_id in [*range(8), None]:
+        df = spark.createDataFrame([(doc_id, "one two three " * 20)], "doc_id long, text string")
+        assert not np.array_equal(lm_score.train_round(df, [b"one", b"two", b"three"], first), first), doc_id
+
+
 # --- toxicity
 
 

@@ -5,7 +5,7 @@ its place, are summed into a hidden vector, which gives a class of the vocabular
 softmax). The sum of the conditional log-probabilities over all tokens is the document's pseudo-log-likelihood.
 
 The vocabulary is the corpus's most frequent words, counted over all documents; other words share hashed buckets. The network
-is trained in numpy by every task on its own share of the documents, and the tasks' parameters are averaged by their tokens,
+is trained in numpy by every task on all documents of its share of the corpus, and the tasks' parameters are averaged by their tokens,
 ROUNDS times. So what is gathered, counts and parameters, grows with the input, and no task holds more than one copy.
 
 Rows: null, empty and wordless texts have no tokens, log_prob 0 and a null score. Repeated rows give one row each. An empty
@@ -28,8 +28,8 @@ from .text import alnum_words, map_rows, small_batches
 
 CLASSES, CLASS_SIZE, DIM, SIDE = 64, 64, 16, 2
 VOCAB, BUCKETS = CLASSES * CLASS_SIZE, 255
-#: Of this many documents one trains the network, by a hash of doc_id; rounds of averaging; tokens of one step.
-TRAIN_OF, ROUNDS, STEP_TOKENS, RATE = 8, 2, 2048, 0.05
+#: Rounds of averaging; tokens of one step; learning rate.
+ROUNDS, STEP_TOKENS, RATE = 2, 2048, 0.05
 #: Parameters are averaged in pieces of this size, first among PARTS tasks' groups, then over these.
 PIECE, PARTS = 16_384, 64
 SCHEMA = "doc_id long, n_tokens long, log_prob double, score double"
@@ -185,8 +185,7 @@ def train_round(docs: DataFrame, words: list[bytes], flat: np.ndarray) -> np.nda
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.float64(), pa.binary()))], names=["piece", "part", "weight", "data"])
 
     schema = "piece int, part int, weight double, data binary"
-    share = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(TRAIN_OF)) == 0)
-    parts = share.select("text").mapInArrow(run, schema).repartition("piece", "part").mapInArrow(average, schema)
+    parts = docs.select("text").mapInArrow(run, schema).repartition("piece", "part").mapInArrow(average, schema)
     rows = parts.withColumn("part", F.lit(0)).repartition("piece").mapInArrow(average, schema).collect()
     out = flat.copy()
     for r in rows:
