@@ -220,6 +220,19 @@ def test_lm_trains_on_every_row(spark):
         assert not np.array_equal(lm_score.train_round(df, [b"one", b"two", b"three"], first), first), doc_id
 
 
+def test_lm_tells_rare_words_apart(spark):
+    known = lm_score.VOCAB - 1 - lm_score.BUCKETS
+    common = " ".join(f"w{k}" for k in range(known))
+    bucket = lambda w: zlib.crc32(w.encode()) % lm_score.BUCKETS
+    a, b = [w for k in range(9999) if bucket(w := f"junk{k}") == 0][:2]
+    got = {r.doc_id: r for r in lm_score.score_text(docs(spark, [common] * 4 + [a, b, a, a])).collect()}
+    # One word without neighbours each: a makes 3 of the bucket's 4.
+    assert len(got) == 8 and got[4].log_prob == got[6].log_prob
+    assert got[4].log_prob - got[5].log_prob == pytest.approx(np.log(3))
+    key = spark.createDataFrame([(bytearray("Aé日".encode()),)], "w binary").selectExpr("xxhash64(w) AS k").first().k
+    assert lm_score.word_key("Aé日".encode()) == key
+
+
 # --- toxicity
 
 

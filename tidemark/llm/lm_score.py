@@ -4,21 +4,27 @@ Every token of a document is predicted from the two words before it and the two
 its place, are summed into a hidden vector, which gives a class of the vocabulary and then the token within its class (each a
 softmax). The sum of the conditional log-probabilities over all tokens is the document's pseudo-log-likelihood.
 
-The vocabulary is the corpus's most frequent words, counted over all documents; other words share hashed buckets. The network
+Words are counted over all documents, and the counts stay a distributed table that grows with the corpus. The most frequent
+words are tokens of the network; each other word belongs to one of BUCKETS hashed tokens, and its probability is its bucket's
+times its own share of the bucket's count in the corpus, looked up by a join. So no two words are scored as one. The network
 is trained in numpy by every task on all documents of its share of the corpus, and the tasks' parameters are averaged by their tokens,
-ROUNDS times. So what is gathered, counts and parameters, grows with the input, and no task holds more than one copy.
+ROUNDS times. The word counts grow with the input; the network's parameters and the buckets' sums have a fixed size.
 
 Rows: null, empty and wordless texts have no tokens, log_prob 0 and a null score. Repeated rows give one row each. An empty
-corpus gives an untrained network.
+corpus gives an untrained network. A word that the model's corpus lacks counts as once more in its bucket. The join compares
+64-bit hashes of words.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
+from itertools import count
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +38,8 @@ VOCAB, BUCKETS = CLASSES * CLASS_SIZE, 255
 ROUNDS, STEP_TOKENS, RATE = 2, 2048, 0.05
 #: Parameters are averaged in pieces of this size, first among PARTS tasks' groups, then over these.
 PIECE, PARTS = 16_384, 64
-SCHEMA = "doc_id long, n_tokens long, log_prob double, score double"
+#: A row of the network's pass: its number, and the hashes of its words that are not tokens of the network.
+NET_SCHEMA = "row long, doc_id long, n_tokens long, net double, rare array<long>"
 SHAPES = {"embed": (VOCAB, DIM), "place": (2 * SIDE, DIM), "bias": (DIM,), "cls": (CLASSES, DIM), "cls_bias": (CLASSES,), "out": (VOCAB, DIM), "out_bias": (VOCAB,)}
 N_PARAMETERS = sum(int(np.prod(s)) for s in SHAPES.values())
 
@@ -135,8 +142,13 @@ def train_step(p: dict[str, np.ndarray], grad2: dict[str, np.ndarray], targets:
         p[name] -= (rate * g / (np.sqrt(grad2[name]) + 1e-6)).astype(np.float32)
 
 
-def count_words(docs: DataFrame, size: int = VOCAB) -> list[bytes]:
-    """The most frequent words of all documents, at most `size`."""
+def word_key(word: bytes) -> int:
+    """The same as Spark's xxhash64 of the word."""
+    return int.from_bytes(xxhash.xxh64_digest(word, seed=42), "big", signed=True)
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, key, n: how often each word occurs in all documents."""
 
     def run(batches):
         total: Counter = Counter()
@@ -151,7 +163,7 @@ def count_words(docs: DataFrame, size: int = VOCAB) -> list[bytes]:
 
     small_batches(docs.sparkSession)
     counts = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    return written(counts.select("word", F.xxhash64("word").alias("key"), "n"), "lm-words")
 
 
 def train_round(docs: DataFrame, words: list[bytes], flat: np.ndarray) -> np.ndarray:
@@ -193,30 +205,57 @@ def train_round(docs: DataFrame, words: list[bytes], flat: np.ndarray) -> np.nda
     return out
 
 
-def train(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[bytes], np.ndarray]:
-    words = count_words(docs)
+class Model(NamedTuple):
+    """The network's words, its parameters, the count of each bucket's words together, and the table of count_words()."""
+
+    words: list[bytes]
+    flat: np.ndarray
+    totals: np.ndarray
+    counts: DataFrame
+
+
+def train(docs: DataFrame, rounds: int = ROUNDS) -> Model:
+    counts = count_words(docs)
+    top = counts.orderBy(F.desc("n"), "word").limit(VOCAB - 1 - BUCKETS).collect()
+    words = [bytes(r.word) for r in top]
+    totals = np.zeros(1 + BUCKETS)
+    for r in counts.groupBy(F.pmod(F.crc32("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[1 + r.bucket] += r.n
+    for r in top:
+        totals[1 + zlib.crc32(r.word) % BUCKETS] -= r.n
     flat = first_parameters()
     for _ in range(rounds):
         flat = train_round(docs, words, flat)
-    return words, flat
+    return Model(words, flat, totals, counts)
 
 
-def score_text(docs: DataFrame, model: tuple[list[bytes], np.ndarray] | None = None) -> DataFrame:
+def score_text(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, n_tokens, log_prob, score (log-probability a token) for each row of docs (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or train(docs))
+    model = model or train(docs)
+    sent = docs.sparkSession.sparkContext.broadcast((model.words, model.flat, np.log(model.totals + 1)))
 
     def start():
-        words, flat = sent.value
+        words, flat, log_totals = sent.value
         vocabulary, p = Vocabulary(words), split_parameters(flat)
+        rows = count(TaskContext.get().partitionId() << 40)
 
         def work(ids, texts):
-            tokens = [vocabulary.ids(t) for t in texts]
+            split = [alnum_words(t) for t in texts]
+            tokens = [np.array([vocabulary[w] for w in x], dtype=np.int64) for x in split]
             sizes = np.array([len(x) for x in tokens], dtype=np.int64)
             targets, context = _windows(tokens)
             logs = np.concatenate([np.zeros(0), *(log_probs(p, targets[a : a + 20_000], context[a : a + 20_000]) for a in range(0, len(targets), 20_000))])
+            in_bucket = (targets > 0) & (targets <= BUCKETS)
+            logs[in_bucket] -= log_totals[targets[in_bucket]]
             total = np.diff(np.r_[0.0, np.cumsum(logs, dtype=np.float64)][np.r_[0, np.cumsum(sizes)]])
-            return {"doc_id": ids, "n_tokens": sizes, "log_prob": total, "score": [float(t / n) if n else None for t, n in zip(total, sizes)]}
+            rare = [[word_key(x[k]) for k in np.flatnonzero(t <= BUCKETS).tolist()] for x, t in zip(split, tokens)]
+            return {"row": [next(rows) for _ in ids], "doc_id": ids, "n_tokens": sizes, "net": total, "rare": rare}
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), SCHEMA, start)
+    net = written(map_rows(docs.select("doc_id", "text"), NET_SCHEMA, start), "lm-net")
+    # A word that is not found occurs once, or never.
+    more = model.counts.where("n > 1").select("key", "n")
+    own = net.select("row", F.explode("rare").alias("key")).join(more, "key", "left").groupBy("row").agg(F.sum(F.log("n")).alias("own"))
+    log_prob = F.col("net") + F.coalesce("own", F.lit(0.0))
+    return net.join(own, "row", "left").select("doc_id", "n_tokens", log_prob.alias("log_prob"), F.when(F.col("n_tokens") > 0, log_prob / F.col("n_tokens")).alias("score"))
