@@ -67,6 +67,25 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert jj.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_links_equal_brute_force(spark, monkeypatch, small):
+    if small:
+        for name, value in (("LIST_ROWS", 4), ("STAR", 3), ("HOT_MIN", 2), ("BLOCK_PAIRS", 10)):
+            monkeypatch.setattr(jj, name, value)
+    rows = corpus(4) + [(2000, "a b c d e f g"), (2000, "a b c d e f g"), (None, "a b c d e f g")]
+    sets = [frozenset(jj.shingle_set(t).tolist()) for _, t in rows]
+    can = [bool(s) and d is not None for (d, _), s in zip(rows, sets)]
+    n = [0] * len(rows)
+    for i, j in combinations(range(len(rows)), 2):
+        if can[i] and can[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            n[i] += 1
+            n[j] += 1
+    components = brute([x for x in rows if x[0] is not None])
+    got = jj.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == Counter((d, k) for (d, _), k in zip(rows, n))
+    assert max(n) > 5 and all((r.n_shingles, r.component_id) == components[r.doc_id] for r in got if r.doc_id is not None)
+
+
 def test_divide_skip_counts():
     r = random.Random(3)
     for _ in range(300):

@@ -7,7 +7,8 @@ Every step is exact; nothing is capped. The rows that a step emits follow its in
    n // 7 + 1 of the smaller and the first n // 4 + 1 of the larger, so only these are posted to inverted lists. Lists that
    are known to be long are dealt over several tasks.
 3. Contraction: each document in a long list is paired with the most central document of one or two of its lists. What these
-   pairs link becomes one component, whose inner pairs are never looked at again.
+   pairs link becomes one component, whose inner pairs jaccard_join never looks at again: it gives components, not links.
+   jaccard_links leaves this step out and verifies every pair.
 4. Candidates: pairs of different components that meet in a list and pass the size and position filters, and whose parity
    bitmaps differ in no more bits than two linked sets can.
 5. T-occurrence search: candidates are gathered in blocks. Each block indexes its documents in inverted lists; a query
@@ -420,11 +421,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id for each row of docs (doc_id, text).
-
-    class_id is the smallest doc_id with the same set; it is null for rows that link to nothing.
-    """
+def _find(docs: DataFrame, every: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The rows with their sets' keys, the classes, and links (a, b) between classes: every one, or enough for the components."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = written(docs.select("doc_id", "text").mapInArrow(_signatures, SIGNATURES), "jaccard-sets")
@@ -432,7 +430,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     hot = found.where(F.col("n") >= HOT_MIN).orderBy(F.desc("n"), "token").limit(HOT).toArrow()
     hot_tokens, hot_counts = hot.column("token").to_numpy(), hot.column("n").to_numpy()
     sets = rows.where("hot is null")
-    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity")), "jaccard-classes")
+    classes = written(sets.where("n > 0 and doc_id is not null").groupBy("key", "n").agg(F.min("doc_id").alias("rep"), F.first("parity").alias("parity"), F.count("*").alias("rows")), "jaccard-classes")
 
     sent = spark.sparkContext.broadcast((hot_tokens, hot_counts))
 
@@ -460,9 +458,9 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     ordered = lambda df: df.repartition("token", "part").sortWithinPartitions("token", "part", "n", "key")
     lists = written(ordered(posts.select("token", "part", "parts", "key", "n", "pos")).mapInArrow(_shared, "token long, part int, parts int, key long, n int, pos int, size long"), "jaccard-lists")
 
-    first = written(alike(stars(lists), classes), "jaccard-stars")
+    first = None if every else written(alike(stars(lists), classes), "jaccard-stars")
     links = None
-    if not first.isEmpty():
+    if first is not None and not first.isEmpty():
         links = written(linked(first, docs, classes), "jaccard-star-links")
         roots = components(links)
         lists = lists.join(_few(roots), "key", "left").withColumn("comp", F.coalesce("root", "key")).drop("root")
@@ -480,7 +478,11 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     if not candidates.isEmpty():
         more = written(linked(candidates, docs, classes), "jaccard-links")
         links = more if links is None else links.union(more)
+    return sets, classes, links
 
+
+def _label(sets: DataFrame, classes: DataFrame, links: DataFrame | None) -> DataFrame:
+    """key, doc_id, n_shingles, component_id, class_id for each row of sets."""
     out = classes.select("key", F.col("rep").alias("class_id"), F.col("rep").alias("component_id"))
     if links is not None:
         roots = components(links)
@@ -489,7 +491,31 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         out = written(labelled.join(least, "root").select("key", F.col("rep").alias("class_id"), "component_id"), "jaccard-components")
     joined = sets.join(out, "key", "left")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(real, F.col("class_id")).alias("class_id"))
+    return joined.select("key", "doc_id", F.col("n").alias("n_shingles"), F.when(real, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(real, F.col("class_id")).alias("class_id"))
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id for each row of docs (doc_id, text).
+
+    class_id is the smallest doc_id with the same set; it is null for rows that link to nothing.
+    """
+    return _label(*_find(docs, every=False)).drop("key")
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """The columns of jaccard_join and n_links: how many other rows of docs the row's set is linked with, equal sets among them.
+
+    Every pair of different classes that can link is verified, those inside a component too, so the work is at least the number
+    of links between classes. Rows that link to nothing have n_links 0.
+    """
+    sets, classes, links = _find(docs, every=True)
+    degree = classes.select("key", (F.col("rows") - 1).alias("links"))
+    if links is not None:
+        both = links.union(links.select("b", "a")).toDF("key", "other")
+        more = both.join(classes.select(F.col("key").alias("other"), "rows"), "other").groupBy("key").agg(F.sum("rows").alias("more"))
+        degree = degree.join(more, "key", "left").select("key", (F.col("links") + F.coalesce("more", F.lit(0))).alias("links"))
+    rows = _label(sets, classes, links).join(degree, "key", "left")
+    return rows.select("doc_id", "n_shingles", "component_id", "class_id", F.when(F.col("class_id").isNotNull(), F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

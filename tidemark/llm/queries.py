@@ -15,6 +15,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import jaccard_links
+
+    return jaccard_links(_table(spark, sf_dir, "documents"))
+
+
 def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -71,12 +77,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_jaccard_join, op2_license, op3_decontaminate, op4_language, op5_html, op6_lm_score, op7_bpe, op8_quality, op9_toxicity, op10_token_file)
+    for f in (op1_jaccard_join, op1_jaccard_links, op2_license, op3_decontaminate, op4_language, op5_html, op6_lm_score, op7_bpe, op8_quality, op9_toxicity, op10_token_file)
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-#: The other operators are trained models, a tokenizer's bytes, a parser or a file format, which SQL cannot express.
+#: op1_jaccard_links is tested by brute force. The other operators are trained models, a tokenizer's bytes, a parser or a file format, which SQL cannot express.
 ORACLE_SQL: dict[str, str] = {
     "op1_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
       s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
