@@ -61,6 +61,44 @@ def test_license_containment_keeps_the_stronger():
     assert sum(map(len, license_scan.make_rules().values())) > 200
 
 
+@pytest.mark.parametrize("text,labels", [
+    ("Licensed under GPLv3", "gpl-3"), ("licensed under the GPLv2", "gpl-2"), ("Expat license", "mit"), ("SPDX-License-Identifier: 0BSD", "0bsd"), ("Common Development and Distribution License", "cddl"),
+    ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"), ("SPDX-License-Identifier: AGPL-3.0-only", "agpl-3"), ("SPDX-License-Identifier: EPL-2.0", "epl-2"),
+    ("Apache License v2.0", "apache-2"), ("GNU General Public License v3.0", "gpl-3"), ("SPDX-License-Identifier: GPL-2.0", "gpl-2"), ("SPDX-License-Identifier: EUPL-1.2", "eupl"), ("a gplv nothing", ""),
+])
+def test_license_short_ids_and_versions(text, labels):
+    assert license_scan.Scanner().scan(text)["labels"] == labels
+
+
+def expansions(parsed):
+    """Strings of a rule's expression, one for each choice of its alternatives."""
+    out = [""]
+    for op, arg in parsed:
+        if str(op) == "LITERAL":
+            more = [chr(arg)]
+        elif str(op) == "IN":
+            more = [chr(c) for _, c in arg if isinstance(c, int)] or [chr(c) for _, (a, z) in arg for c in range(a, z + 1)]
+        elif str(op) == "BRANCH":
+            more = [x for branch in arg[1] for x in expansions(branch)]
+        elif str(op) == "SUBPATTERN":
+            more = expansions(arg[3])
+        else:
+            assert str(op) == "MAX_REPEAT" and arg[:2] == (0, 1)
+            more = ["", *expansions(arg[2])]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_license_gates_lose_nothing():
+    gated, every = license_scan.Scanner(), license_scan.Scanner()
+    every.rules = {(b" ",): [r for rules in gated.rules.values() for r in rules]}
+    for keywords, name in license_scan.LICENSES.values():
+        for text in expansions(re._parser.parse(name)):
+            assert set(text.split()) & set(keywords.split()), text
+            got = gated.scan(f"SPDX-License-Identifier: {text}")
+            assert got == every.scan(f"SPDX-License-Identifier: {text}") and got["score"] == 1, text
+
+
 # --- decontamination
 
 

@@ -1,8 +1,8 @@
 """License scans by ordered signature rules.
 
 The text becomes its words (lower-case runs of letters and digits) joined by single spaces. Rules are regular expressions over
-that, made of LICENSES (a label, the keyword that every mention has, and the name's expression) and FORMS (how a text speaks of
-a license, with a priority and a confidence). A rule is tried only where its keyword occurs. Detections are then resolved: by
+that, made of LICENSES (a label, keywords of which every mention has one as a word, and the name's expression) and FORMS (how a
+text speaks of a license, with a priority and a confidence). A rule is tried only where one of its keywords occurs. Detections are then resolved: by
 priority, then length, then place, each is kept unless it lies inside one already kept. Base phrases are counted besides at
 every place where their words stand consecutively, and their labels always stay.
 
@@ -22,38 +22,64 @@ from .text import alnum_words, map_rows
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
-_V = r"(?: version)?"
-#: label: keyword, name. Variants come before what they extend only by length; containment decides between them.
+#: What stands between a name and its number, the space included: "version 2", "v2", "v 2" or nothing.
+_V = r"(?: version)? (?:v ?)?"
+
+
+def _short(name: str, version: str, first: str = "") -> tuple[str, str]:
+    """Keywords and expression of an abbreviated name with its version, apart or joined: gpl 2, gpl2, gplv2, gpl version 2 0."""
+    first = first or version.split()[0]
+    return f"{name} {name}{first} {name}v {name}v{first}", rf"(?:gnu )?{name}(?: version)? ?(?:v ?)?{version}" + ("" if " " in version else "(?: 0)?")
+
+
+#: label: keywords, name. Variants come before what they extend only by length; containment decides between them.
 LICENSES = {
-    "mit": ("mit", r"(?:mit|expat|mit x11)"),
+    "mit": ("mit expat", r"(?:mit|expat|mit x11)"),
     "mit-0": ("mit", r"mit (?:0|no attribution)"),
-    "apache-1.1": ("apache", r"apache(?: software)?(?: license)?,?" + _V + r" 1 1"),
-    "apache-2": ("apache", r"apache(?: software)?(?: license)?" + _V + r" 2(?: 0)?"),
+    "apache-1.1": ("apache", r"apache(?: software)?(?: license)?" + _V + r"1 1"),
+    "apache-2": ("apache", r"apache(?: software)?(?: license)?" + _V + r"2(?: 0)?"),
     "bsd-2-clause": ("bsd", r"(?:simplified|freebsd|2 clause|two clause) bsd|bsd 2 clause"),
     "bsd-3-clause": ("bsd", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause"),
     "bsd-4-clause": ("bsd", r"(?:original|old|4 clause|four clause) bsd|bsd 4 clause"),
     "bsd": ("bsd", r"bsd(?: style)?"),
-    "0bsd": ("bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)"),
+    "0bsd": ("bsd 0bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)"),
     "isc": ("isc", r"isc"),
-    "gpl-1": ("gnu", r"gnu general public license" + _V + r" 1(?: 0)?"),
-    "gpl-2": ("gnu", r"gnu general public license" + _V + r" 2(?: 0)?"),
-    "gpl-3": ("gnu", r"gnu general public license" + _V + r" 3(?: 0)?"),
+    "gpl-1": ("gnu", r"gnu general public license" + _V + r"1(?: 0)?"),
+    "gpl-2": ("gnu", r"gnu general public license" + _V + r"2(?: 0)?"),
+    "gpl-3": ("gnu", r"gnu general public license" + _V + r"3(?: 0)?"),
     "gpl": ("gnu", r"gnu general public license"),
-    "gpl-2-short": ("gpl", r"(?:gnu )?gpl ?" + _V + r" ?v? ?2(?: 0)?"),
-    "gpl-3-short": ("gpl", r"(?:gnu )?gpl ?" + _V + r" ?v? ?3(?: 0)?"),
-    "lgpl-2": ("gnu", r"gnu library general public license" + _V + r" 2(?: 0)?"),
-    "lgpl-2.1": ("gnu", r"gnu lesser general public license" + _V + r" 2 1"),
-    "lgpl-3": ("gnu", r"gnu lesser general public license" + _V + r" 3(?: 0)?"),
+    "gpl-1-short": _short("gpl", "1"),
+    "gpl-2-short": _short("gpl", "2"),
+    "gpl-3-short": _short("gpl", "3"),
+    "lgpl-2-short": _short("lgpl", "2"),
+    "lgpl-2.1-short": _short("lgpl", "2 1"),
+    "lgpl-3-short": _short("lgpl", "3"),
+    "agpl-3-short": _short("agpl", "3"),
+    "mpl-1.1-short": _short("mpl", "1 1"),
+    "mpl-2-short": _short("mpl", "2"),
+    "epl-1-short": _short("epl", "1"),
+    "epl-2-short": _short("epl", "2"),
+    "fdl-short": ("gfdl", r"(?:gnu )?gfdl(?:" + _V + r"1 [123])?"),
+    "boost-short": ("bsl", r"bsl 1 0"),
+    "artistic-1": ("artistic", r"artistic 1 0"),
+    "artistic-2-short": ("artistic", r"artistic 2 0"),
+    "psf-short": ("psf", r"psf 2 0"),
+    "odbl-short": ("odbl", r"odbl(?:" + _V + r"1 0)?"),
+    "ofl-short": ("ofl", r"ofl(?:" + _V + r"1 [01])"),
+    "eupl-short": _short("eupl", "1 [012]", "1"),
+    "lgpl-2": ("gnu", r"gnu library general public license" + _V + r"2(?: 0)?"),
+    "lgpl-2.1": ("gnu", r"gnu lesser general public license" + _V + r"2 1"),
+    "lgpl-3": ("gnu", r"gnu lesser general public license" + _V + r"3(?: 0)?"),
     "lgpl": ("gnu", r"gnu (?:lesser|library) general public license"),
-    "agpl-3": ("gnu", r"gnu affero general public license" + _V + r" 3(?: 0)?"),
+    "agpl-3": ("gnu", r"gnu affero general public license" + _V + r"3(?: 0)?"),
     "agpl": ("gnu", r"gnu affero general public license"),
-    "fdl": ("gnu", r"gnu free documentation license(?:" + _V + r" 1 [123])?"),
-    "mpl-1.1": ("mozilla", r"mozilla public license" + _V + r" 1 1"),
-    "mpl-2": ("mozilla", r"mozilla public license" + _V + r" 2(?: 0)?"),
+    "fdl": ("gnu", r"gnu free documentation license(?:" + _V + r"1 [123])?"),
+    "mpl-1.1": ("mozilla", r"mozilla public license" + _V + r"1 1"),
+    "mpl-2": ("mozilla", r"mozilla public license" + _V + r"2(?: 0)?"),
     "mpl": ("mozilla", r"mozilla public license"),
-    "epl-1": ("eclipse", r"eclipse public license" + _V + r" 1(?: 0)?"),
-    "epl-2": ("eclipse", r"eclipse public license" + _V + r" 2(?: 0)?"),
-    "cddl": ("cddl", r"(?:common development and distribution license|cddl)(?:" + _V + r" 1 [01])?"),
+    "epl-1": ("eclipse", r"eclipse public license" + _V + r"1(?: 0)?"),
+    "epl-2": ("eclipse", r"eclipse public license" + _V + r"2(?: 0)?"),
+    "cddl": ("cddl common", r"(?:common development and distribution license|cddl)(?:" + _V + r"1 [01])?"),
     "cc0": ("cc0", r"(?:creative commons )?cc0(?: 1 0)?"),
     "cc-by": ("cc", r"(?:creative commons )?cc by(?: [1234] 0)?"),
     "cc-by-sa": ("cc", r"(?:creative commons )?cc by sa(?: [1234] 0)?"),
@@ -69,19 +95,19 @@ LICENSES = {
     "unlicense": ("unlicense", r"unlicense"),
     "wtfpl": ("wtfpl", r"wtfpl"),
     "zlib": ("zlib", r"zlib(?: libpng)?"),
-    "boost": ("boost", r"boost software license(?:" + _V + r" 1 0)?"),
-    "artistic-2": ("artistic", r"artistic license" + _V + r" 2(?: 0)?"),
+    "boost": ("boost", r"boost software license(?:" + _V + r"1 0)?"),
+    "artistic-2": ("artistic", r"artistic license" + _V + r"2(?: 0)?"),
     "artistic": ("artistic", r"artistic license"),
-    "psf": ("python", r"python software foundation license(?:" + _V + r" 2)?"),
+    "psf": ("python", r"python software foundation license(?:" + _V + r"2)?"),
     "openssl": ("openssl", r"openssl license"),
     "postgresql": ("postgresql", r"postgresql license"),
-    "odbl": ("database", r"open (?:data commons open )?database license(?: odbl)?(?:" + _V + r" 1 0)?"),
-    "ofl": ("font", r"sil open font license(?:" + _V + r" 1 [01])?"),
-    "eupl": ("european", r"european union public licen[cs]e(?:" + _V + r" 1 [012])?"),
+    "odbl": ("database", r"open (?:data commons open )?database license(?: odbl)?(?:" + _V + r"1 0)?"),
+    "ofl": ("font", r"sil open font license(?:" + _V + r"1 [01])?"),
+    "eupl": ("european", r"european union public licen[cs]e(?:" + _V + r"1 [012])?"),
     "public-domain": ("public", r"public domain"),
 }
 #: Labels that are spelt in several ways.
-SAME = {"gpl-2-short": "gpl-2", "gpl-3-short": "gpl-3", "cc-attribution": "cc-by", "cc-attribution-sa": "cc-by-sa", "cc-attribution-nc": "cc-by-nc", "cc-attribution-nc-sa": "cc-by-nc-sa", "cc-attribution-nd": "cc-by-nd"}
+SAME = {k: k.removesuffix("-short") for k in LICENSES if k.endswith("-short")} | {"artistic-1": "artistic", "cc-attribution": "cc-by", "cc-attribution-sa": "cc-by-sa", "cc-attribution-nc": "cc-by-nc", "cc-attribution-nc-sa": "cc-by-nc-sa", "cc-attribution-nd": "cc-by-nd"}
 #: form: priority, confidence, expression around the name.
 FORMS = {
     "tag": (5, 1.0, r"spdx license identifier (?:{})(?: only| or later)?"),
@@ -95,21 +121,21 @@ WEAK = frozenset(["mit", "isc", "bsd", "zlib", "public-domain"])
 
 
 class Rule:
-    __slots__ = ("keyword", "label", "priority", "confidence", "find")
+    __slots__ = ("label", "priority", "confidence", "find")
 
-    def __init__(self, keyword: bytes, label: str, priority: int, confidence: float, expression: str):
-        self.keyword, self.label, self.priority, self.confidence = keyword, label, priority, confidence
+    def __init__(self, label: str, priority: int, confidence: float, expression: str):
+        self.label, self.priority, self.confidence = label, priority, confidence
         self.find = re.compile(f"(?<= ){expression}(?= )".encode()).finditer
 
 
-def make_rules() -> dict[bytes, list[Rule]]:
-    """Rules by keyword: every form of every license, but no bare mention of weak names."""
+def make_rules() -> dict[tuple[bytes, ...], list[Rule]]:
+    """Rules by keywords: every form of every license, but no bare mention of weak names."""
     rules = defaultdict(list)
-    for label, (keyword, name) in LICENSES.items():
+    for label, (keywords, name) in LICENSES.items():
         for form, (priority, confidence, around) in FORMS.items():
             if form != "mention" or label not in WEAK:
-                key = f" {keyword} ".encode()
-                rules[key].append(Rule(key, SAME.get(label, label), priority, confidence, around.format(name)))
+                key = tuple(f" {k} ".encode() for k in keywords.split())
+                rules[key].append(Rule(SAME.get(label, label), priority, confidence, around.format(name)))
     return dict(rules)
 
 
@@ -137,7 +163,7 @@ class Scanner:
                 starts.append(at)
                 base.add(label)
                 at = flat.find(phrase, at + 1)
-        found = [(r.priority, *m.span(), r.confidence, r.label) for key, rules in self.rules.items() if key in flat for r in rules for m in r.find(flat)]
+        found = [(r.priority, *m.span(), r.confidence, r.label) for keys, rules in self.rules.items() if any(k in flat for k in keys) for r in rules for m in r.find(flat)]
         kept = resolve(found)
         score = 1.0
         for *_, confidence, _ in kept:
