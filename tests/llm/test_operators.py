@@ -211,6 +211,20 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_main_text_keeps_the_whole_article():
+    p = lambda k, n: f"{k} " + "long text " * (n // 8)
+    lines = lambda html: html_text.main_text(html).split("\n")
+    para = lambda k, n: f"<p>{p(k, n)}</p>"
+    sections = f"<h1>Head</h1>{para('intro', 200)}<section>{''.join(para(f'a{k}', 120) for k in range(3))}</section><section>{''.join(para(f'b{k}', 200) for k in range(5))}</section><blockquote>quoted</blockquote><pre>code</pre>"
+    want = ["Head", "intro", "a0", "a1", "a2", "b0", "b1", "b2", "b3", "b4", "quoted", "code"]
+    menu = "<div><a href=/a>One</a> <a href=/b>Two</a></div>"
+    for before, after in (("<article>", "</article>"), ("<div>", "</div>"), ("<div class='has-sidebar'><article>", "</article></div>"), ("<div class='sidebar'><article>", "</article></div>"), ("<div class='sidebar'>", "</div>")):
+        assert [x.split()[0] for x in lines(f"<body>{menu}<div class='main-nav'>Menu</div>{before}{sections}{after}<div id=comments>Talk</div></body>")] == want, before
+    items = "".join(f"<li>item {k} " + "word " * 12 for k in range(30))
+    got = lines(f"<body><article><h1>Head</h1>{para('p', 100)}<ul>{items}</ul><table><tr><td>cell<td>other</table>{para('q', 100)}</article></body>")
+    assert len(got) == 35 and [x.split()[0] for x in (*got[:3], *got[-3:])] == ["Head", "p", "item", "cell", "other", "q"]
+
+
 def test_pages_equal_their_articles(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     raw = {r.page_id: r.html for r in df.collect()}

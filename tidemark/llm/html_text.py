@@ -2,10 +2,12 @@
 
 The page is parsed into a tree with the implied end tags of HTML. Every block has characters, tags, link characters and link
 tags; its density is characters per tag, adjusted for links with the share of link text in the body. A block that holds
-blocks is scored by the sum of its child blocks' densities, and the largest sum under the body is the article. The least
-density on the path from there to the body is the threshold: blocks beside the path that reach it as containers of several
-text blocks belong to the article too. Menus, page headers, footers, sidebars, notices, adverts, forms and comments, known by
-element or by class, id or role, never count.
+blocks is scored by the sum of its child blocks' densities, and the largest sum under the body is where the text is densest. The
+article is the outermost <article> or <main> around that block, or else the body, and all its text is kept, on every level:
+headings, paragraphs, lists, tables, code. In a body without such an element, blocks beside the densest one go if more than half
+of their text is links. Menus, page headers, footers, sidebars, notices, adverts, forms and comments, known by element or by a
+whole class, id or role, never count; but a class does not remove what holds every <article> and <main> of the page or, where there
+are none, more than half of its text.
 
 Rows: null and empty html give an empty text. Repeated rows give one row each.
 """
@@ -29,7 +31,9 @@ RAW = frozenset("script style noscript template iframe textarea title svg math o
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 NOISE_TAGS = frozenset("nav footer aside form button select option input dialog menu".split())
 _WORD = r"ads?|advert(?:s|isements?|ising)?|adsbygoogle|banner|sponsor(?:ed|s)?|promo(?:tions?|s)?|nav(?:bar|igation)?|menus?|breadcrumbs?|sidebar|side-bar|aside|footer|masthead|comments?|comment-?list|disqus|respond|replies|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|toolbar|pagination|pager|search|login|site-header|page-header|complementary|contentinfo|banner|skip-link|paywall|widget"
-_NOISE = re.compile(rf"(?:^|[\s_-])(?:{_WORD})(?:$|[\s_\d-])", re.I)
+#: What may stand beside such a word in one name: main-nav and ad_box_2 are noise, has-sidebar and social-history are not.
+_BESIDE = r"site|page|main|top|bottom|left|right|primary|secondary|box|block|bar|area|list|section|container|links?|buttons?|wrapper|\d+"
+_NOISE = re.compile(rf"(?<!\S)(?:(?:{_BESIDE})[_-])*(?:{_WORD})\d*(?:[_-](?:{_WORD}|{_BESIDE})\d*)*(?!\S)", re.I)
 #: A start tag of the key ends an open element of the values, up to the next enclosing container.
 _P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul dd dt li".split())
 ENDS = {**{t: frozenset(["p"]) for t in _P_ENDS}, "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]), "body": frozenset(["head"])}
@@ -39,7 +43,7 @@ SCOPE = frozenset("html body article section div main table td th ul ol dl block
 class Node:
     __slots__ = ("tag", "parent", "parts", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
+    def __init__(self, tag: str, parent: Node | None, noise: int = 0):
         self.tag, self.parent, self.noise = tag, parent, noise
         self.parts: list = []  # strings and nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
@@ -47,16 +51,17 @@ class Node:
         self.blocks: list[Node] = []
 
 
-def _is_noise(tag: str, attrs: str, stack: list[Node]) -> bool:
+def _is_noise(tag: str, attrs: str, stack: list[Node]) -> int:
+    """0: no; 1: by element or because it is hidden; 2: by a name only."""
     if tag in NOISE_TAGS:
-        return True
+        return 1
     if tag == "header":
-        return not any(n.tag in ("article", "main") for n in stack)
+        return int(not any(n.tag in ("article", "main") for n in stack))
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
     if _HIDDEN.search(attrs):
-        return True
-    return any(_NOISE.search(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs))
+        return 1
+    return 2 * any(_NOISE.search(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(attrs))
 
 
 def parse(html: str) -> Node:
@@ -107,6 +112,24 @@ def _visible(text: str) -> int:
     return sum(map(len, text.split()))
 
 
+def _clear(root: Node) -> None:
+    """Noise by name only does not hold for what contains the page's articles or, without any, most of its text."""
+    order = [root]
+    for node in order:
+        order += [p for p in node.parts if isinstance(p, Node) and p.noise != 1]
+    if not any(n.noise for n in order):
+        return
+    held = {id(n): [sum(_visible(p) for p in n.parts if isinstance(p, str)), int(n.tag in ("article", "main") and not n.noise)] for n in order}
+    for n in reversed(order[1:]):
+        up, own = held[id(n.parent)], held[id(n)]
+        up[0] += own[0]
+        up[1] += own[1]
+    chars, articles = held[id(root)]
+    for n in order:
+        if n.noise and (held[id(n)][1] == articles if articles else 2 * held[id(n)][0] > chars):
+            n.noise = 0
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts of each node without noise; the nodes, parents first."""
     order = [root]
@@ -157,6 +180,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _clear(root)
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     share = body.link_chars / max(body.chars, 1)
@@ -173,17 +197,19 @@ def main_text(html: str | None) -> str:
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
-    chosen = [best]
-    if best is not body:
-        up = best.parent
-        while up.tag in INLINE:
-            up = up.parent
-        chosen = [x for x in up.blocks if x is best or len(x.blocks) > 1 and x.density >= threshold and x.link_chars * 3 < x.chars]
+    article = next((x for x in reversed(path) if x.tag in ("article", "main")), None)
+    if article is None:
+        keep = {id(x) for x in path}
+        todo = list(body.blocks)
+        for x in todo:
+            if x is best:
+                continue
+            if id(x) not in keep and 2 * x.link_chars > x.chars:
+                x.noise = 1
+            else:
+                todo += x.blocks
     blocks: list[list[str]] = [[]]
-    for node in chosen:
-        _render(node, blocks)
-        blocks.append([])
+    _render(article or body, blocks)
     lines = (" ".join(unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 
