@@ -130,6 +130,14 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.decontaminate(docs(spark, []).where("false"), none).count() == 0
 
 
+def test_decontamination_by_items_without_id(spark):
+    passage = "one two three four five"
+    bench = spark.createDataFrame([(None, passage), (7, "three four"), (None, "six seven")], "item_id long, text string")
+    for limit in (1 << 20, 5):
+        r = decontaminate.decontaminate(docs(spark, [f"x {passage} six seven"]), bench, max_bytes=limit).first()
+        assert (r.n_hit, r.n_items, r.contaminated, r.items_sha256) == (7, 2, True, hashlib.sha256(b"7").hexdigest())
+
+
 # --- quality
 
 

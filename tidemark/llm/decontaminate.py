@@ -7,6 +7,7 @@ then the words themselves.
 
 Rows: null or empty text, or text without a word, has no hit and is not contaminated. Repeated documents give one row each.
 Items without a word have no window and never occur; equal windows of several items count for each of them.
+Items without item_id hit like the others and count as one item together, but are not in the list of ids.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ def windows(text: str | None, size: int = WINDOW) -> set[tuple[bytes, ...]]:
 class Matcher:
     """Wu-Manber tables for each pattern length that occurs."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int):
-        owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
+        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
         for item, text in items:
             for w in windows(text, size):
                 owners[w].add(item)
@@ -80,7 +81,7 @@ class Matcher:
         self.tables = [WuManber(by_length[m]) for m in sorted(by_length)]
         self.owners = owners
 
-    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+    def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         spans, items = [], set()
         for table in self.tables:
             for start, k in table.search(words):
@@ -89,9 +90,9 @@ class Matcher:
         return spans, items
 
 
-def _chunks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
+def _chunks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
     part, size = [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("item_id is not null").toLocalIterator():
+    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         if part and size + len(text or "") > limit:
             yield part
             part, size = [], 0
@@ -133,13 +134,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max
                     if not last:
                         out["text"].append(text)
                         out["spans"].append([x for s in found for x in s])
-                        out["items"].append(sorted(names))
+                        out["items"].append(list(names))
                         continue
                     hit = covered(len(words), found) if found else 0
                     out["n_words"].append(len(words))
                     out["n_hit"].append(hit)
                     out["n_items"].append(len(names))
-                    out["items_sha256"].append(hashlib.sha256(",".join(sorted(names)).encode()).hexdigest())
+                    out["items_sha256"].append(hashlib.sha256(",".join(sorted(x for x in names if x is not None)).encode()).hexdigest())
                     out["contaminated"].append(hit > 0 and 20 * hit >= len(words))
                 return out if ids else {k.split()[0]: [] for k in (SCHEMA if last else carry).split(", ")}
 
