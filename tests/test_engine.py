@@ -108,9 +108,12 @@ def test_features_against_numpy():
         assert f["curvature_quadratic"][i] == pytest.approx(np.polyfit(x, y[i], 2)[0])
         assert f["lag_1_autocorrelation"][i] == pytest.approx(np.corrcoef(r[i][:-1], r[i][1:])[0, 1])
         assert f["upper_tail_ratio"][i] == pytest.approx(np.percentile(r[i], 95) / r[i].std())
+        orders = [tuple(np.argsort(y[i][k : k + 3], kind="stable")) for k in range(62)]
+        share = np.array([orders.count(o) for o in set(orders)]) / 62
+        assert f["permutation_entropy"][i] == pytest.approx(-(share * np.log(share)).sum() / np.log(6))
         # sample entropy, all pairs one by one
-        n, tol = len(r[i]), 0.2 * r[i].std()
-        count = lambda m: sum(np.abs(r[i][a : a + m] - r[i][b : b + m]).max() <= tol for a in range(n - m + 1) for b in range(a + 1, n - m + 1))  # noqa: B023, E731
+        n, tol = 64, 0.2 * y[i].std()
+        count = lambda m: sum(np.abs(y[i][a : a + m] - y[i][b : b + m]).max() <= tol for a in range(n - m + 1) for b in range(a + 1, n - m + 1))  # noqa: B023, E731
         a, b = count(3), count(2)
         assert np.isnan(f["sample_entropy"][i]) if not a or not b else f["sample_entropy"][i] == pytest.approx(-np.log(a / b))
 

@@ -78,11 +78,11 @@ def _hurst(r: np.ndarray) -> np.ndarray:
         ys.append(np.where(k > 0, rs / np.maximum(k, 1), np.nan))
     y = np.log(np.stack(ys, axis=1))
     out = np.full(len(r), np.nan)
-    for i in range(len(r)):
-        ok = np.isfinite(y[i])
-        if ok.sum() >= 2:
-            d = xs[ok] - xs[ok].mean()
-            out[i] = d @ y[i][ok] / (d @ d)
+    ok = np.isfinite(y)
+    n_ok = ok.sum(axis=1)
+    d = np.where(ok, xs - ((ok * xs).sum(axis=1) / np.maximum(n_ok, 1))[:, None], 0)
+    fit = n_ok >= 2
+    out[fit] = (d * np.where(ok, y, 0)).sum(axis=1)[fit] / (d * d).sum(axis=1)[fit]
     return out
 
 
@@ -104,19 +104,23 @@ def _permutation_entropy(x: np.ndarray) -> np.ndarray:
 
 
 def _sample_entropy(x: np.ndarray, m: int = 2) -> np.ndarray:
+    """By blocks of windows; the pairs of a window's places are compared by their distance in time."""
     n = x.shape[1]
     out = np.full(len(x), np.nan)
-    if n < m + 2:
+    if n < 16:
         return out
-    for i in range(len(x)):
-        tolerance = 0.2 * x[i].std()
-        if tolerance < EPS:
-            continue
-        close = np.abs(x[i][:, None] - x[i][None, :]) <= tolerance
-        pairs = lambda k: np.triu(np.logical_and.reduce([close[j : n - k + 1 + j, j : n - k + 1 + j] for j in range(k)]), 1).sum()
-        a, b = pairs(m + 1), pairs(m)
-        if a and b:
-            out[i] = -np.log(a / b)
+    for at in range(0, len(x), 2000):
+        y = x[at : at + 2000]
+        sd = y.std(axis=1)
+        longer, shorter = np.zeros(len(y)), np.zeros(len(y))
+        for lag in range(1, n - m + 1):
+            close = np.abs(y[:, lag:] - y[:, :-lag]) <= 0.2 * sd[:, None]
+            both = np.logical_and.reduce([close[:, k : close.shape[1] - m + 1 + k] for k in range(m)])
+            shorter += both.sum(axis=1)
+            if close.shape[1] > m:
+                longer += (both[:, :-1] & close[:, m:]).sum(axis=1)
+        ok = (sd >= EPS) & (longer > 0) & (shorter > 0)
+        out[at : at + 2000][ok] = -np.log(longer[ok] / shorter[ok])
     return out
 
 
@@ -202,7 +206,7 @@ def compute(y: np.ndarray, o: np.ndarray, h: np.ndarray, low: np.ndarray, c: np.
     f["upper_tail_ratio"], f["lower_tail_ratio"] = _sr(q[1], sd), _sr(np.abs(q[0]), sd)
     f["maximum_positive_return"], f["maximum_negative_return"] = r.max(axis=1), r.min(axis=1)
     f["hurst_rs_v1"], f["variance_ratio_2"], f["variance_ratio_4"] = _hurst(r), _variance_ratio(r, 2), _variance_ratio(r, 4)
-    f["permutation_entropy"], f["sample_entropy"], f["higuchi_fractal_dimension"] = _permutation_entropy(r), _sample_entropy(r), _higuchi(y)
+    f["permutation_entropy"], f["sample_entropy"], f["higuchi_fractal_dimension"] = _permutation_entropy(y), _sample_entropy(y), _higuchi(y)
     turn = np.zeros(n)
     for i in range(n):
         s = np.sign(dy[i][np.abs(dy[i]) > EPS])

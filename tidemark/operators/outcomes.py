@@ -18,7 +18,7 @@ def _first(fut: Column, test) -> Column:
 
 def barrier(fut: Column, anchor: Column, up: float, down: float) -> Column:
     a, b = _first(fut, lambda x: x["high"] >= anchor * (1 + up)), _first(fut, lambda x: x["low"] <= anchor * (1 - down))
-    return F.when((a == 0) & (b == 0), "NEITHER").when(b == 0, "UPPER_FIRST").when(a == 0, "LOWER_FIRST").when(a == b, "SAME_BAR_BOTH").when(a < b, "UPPER_FIRST").otherwise("LOWER_FIRST")
+    return F.when((a == 0) & (b == 0), "NEITHER").when(b == 0, "UP_FIRST").when(a == 0, "DOWN_FIRST").when(a == b, "SAME_BAR_BOTH").when(a < b, "UP_FIRST").otherwise("DOWN_FIRST")
 
 
 def direction(r: Column, flat: float = 1e-6) -> Column:
@@ -60,7 +60,8 @@ def outcomes(windows: DataFrame, horizons: tuple[int, ...] = (5,)) -> DataFrame:
         direction(r).alias("direction_class"), source.alias("source_return"), continuation(source, r).alias("continuation"),
         *(F.when(some, h).otherwise("UNAVAILABLE").alias(f"barrier_{b * 1000:g}".replace(".", "_")) for h, b in zip(hits, BARRIERS)),
         F.when(some, first_hit).otherwise("UNAVAILABLE").alias("first_barrier"),
-        F.when(some, F.when(hits[1] == "UPPER_FIRST", "GAIN_FIRST").when(hits[1] == "LOWER_FIRST", "DRAWDOWN_FIRST").otherwise(hits[1])).otherwise("UNAVAILABLE").alias("sequence"),
+        F.when(some, F.when(hits[1] == "UP_FIRST", "GAIN_FIRST").when(hits[1] == "DOWN_FIRST", "GAIN_AFTER_DRAWDOWN_UNKNOWN").otherwise(hits[1])).otherwise("UNAVAILABLE").alias("gain_sequence"),
+        F.when(some, F.when(hits[1] == "UP_FIRST", "DRAWDOWN_AFTER_GAIN_UNKNOWN").when(hits[1] == "DOWN_FIRST", "DRAWDOWN_FIRST").otherwise(hits[1])).otherwise("UNAVAILABLE").alias("drawdown_sequence"),
         "path",
     )
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BASELINES = ("random_history", "same_instrument_random", "same_context_random", "same_volatility_random", "recent_return_match", "raw_shape_euclidean", "dna_only_cosine", "context_filter_random", "same_asset_class_random", "unconditional_outcome", "naive_continuation", "naive_mean_reversion", "recent_mean_return")
 EPS = 1e-12
 
 
@@ -94,7 +93,7 @@ def forecast(neighbours: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def brier(p: Column, up: Column) -> Column:
-    q = F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0))
+    q = F.when(p.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))  # least and greatest pass over nulls
     return (q - up.cast("double")) * (q - up.cast("double"))
 
 
@@ -142,6 +141,18 @@ def calibration_error(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.groupBy(*keys).agg((F.sum(F.col("n") * F.col("gap")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
 
+def z_test(k: Column, n: Column, share: float = 0.5) -> Column:
+    """Two-sided p-value of k hits of n against a true share, by the normal approximation.
+
+    The error function is summed by its series of positive terms, whose quotient is 2 z^2 / (2 i + 1).
+    """
+    z = F.abs(k / n - share) / F.sqrt(share * (1 - share) / n) / F.sqrt(F.lit(2.0))
+    start = F.struct(z.alias("term"), z.alias("total"))
+    step = lambda s, i: F.struct((s["term"] * 2 * z * z / (2 * i + 1)).alias("term"), (s["total"] + s["term"] * 2 * z * z / (2 * i + 1)).alias("total"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(119)), start, step)["total"]
+    return F.when(n > 0, F.greatest(1 - 2 / F.sqrt(F.lit(3.141592653589793)) * F.exp(-z * z) * series, F.lit(0.0)))
+
+
 def adjust(tests: DataFrame, keys: list[str]) -> DataFrame:
     """tests (p_value) with Benjamini-Hochberg and Holm adjusted values within keys."""
     part = Window.partitionBy(*keys)

@@ -23,6 +23,11 @@ def _h4_windows(spark: SparkSession, sf_dir: str, horizon: int = 0, lengths: tup
     return windows.sliding_windows(B.event_bars(spark, sf_dir), lengths, horizon=horizon)
 
 
+def _asked(df: DataFrame) -> DataFrame:
+    """The stated query set of searches against all windows: every 50th window of each series."""
+    return df.where("bar_no % 50 = 0")
+
+
 _BARS = """bars AS (
   SELECT event_type AS instrument, 'H4' AS timeframe, time_bucket(INTERVAL '4 hours', ts, TIMESTAMP '1970-01-01') AS ts,
     arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume
@@ -65,7 +70,7 @@ def window_flags(spark, sf_dir):
 
 def outcome_labels(spark, sf_dir):
     got = outcomes.outcomes(_h4_windows(spark, sf_dir, horizon=5), (5,))
-    return _r(got.select("instrument", "end_ts", "available", "is_complete", "simple_return", "log_return", "mfe", "mae", "mfe_bar", "mae_bar", "direction_class", "continuation", "barrier_5", "barrier_10", "barrier_20", "first_barrier"))
+    return _r(got.select("instrument", "end_ts", "available", "is_complete", "simple_return", "log_return", "mfe", "mae", "mfe_bar", "mae_bar", "direction_class", "continuation", "barrier_5", "barrier_10", "barrier_20", "first_barrier", "gain_sequence", "drawdown_sequence"))
 
 
 def outcome_summary(spark, sf_dir):
@@ -123,7 +128,7 @@ def market_features(spark, sf_dir):
 
 
 def market_context(spark, sf_dir):
-    described = features.features(_h4_windows(spark, sf_dir, lengths=(16, 64)))
+    described = features.features(windows.sliding_windows(B.event_bars(spark, sf_dir, "H1"), (16, 64, 256), seconds=3600))
     return context.classify(described).select("window_id", *SERIES, "length", "end_ts", *context.DIMENSIONS, "family", "composite", "composite_confidence", "completeness")
 
 
@@ -133,7 +138,7 @@ def context_families(spark, sf_dir):
 
 def _searchable(spark, sf_dir):
     df = normalize.normalize(_h4_windows(spark, sf_dir, horizon=5))
-    return df.select("window_id", *SERIES, "length", "start_ts", "end_ts", "future", "bars", "quality_flags", F.col("close_path").alias("path"))
+    return df.select("window_id", *SERIES, "length", "start_ts", "end_ts", "bar_no", "future", "bars", "quality_flags", F.col("close_path").alias("path"))
 
 
 def analogues(spark, sf_dir):
@@ -166,8 +171,9 @@ def embedding_neighbours(spark, sf_dir):
 def _neighbours(spark, sf_dir):
     base = _searchable(spark, sf_dir)
     labels = outcomes.outcomes(base.select("window_id", *SERIES, "length", "end_ts", "bars", "future"), (5,)).where("is_complete").select(F.col("window_id").alias("c_id"), "simple_return", "mfe", "mae", "continuation")
-    light = base.select("window_id", *SERIES, "length", "end_ts", "path")
-    found = similarity.search(light, light, "shape_euclidean_v1", 10, same_instrument=True)
+    light = base.select("window_id", *SERIES, "length", "start_ts", "end_ts", "path")
+    # Only candidates whose outcome was over before the query's first bar: what follows the query must not tell of itself.
+    found = similarity.search(light, light, "shape_euclidean_v1", 10, same_instrument=True, serves=lambda q, c: validation.eligibility(q, c, 5).isNull())
     return found.join(labels, "c_id"), labels
 
 
@@ -195,11 +201,9 @@ def validation_calibration(spark, sf_dir):
 
 
 def eligibility_reasons(spark, sf_dir):
-    """Why candidates may not serve the last windows of each instrument, counted."""
-    base = _searchable(spark, sf_dir).select("window_id", "instrument", "timeframe", "length", "start_ts", "end_ts")
-    from pyspark.sql.window import Window
-
-    late = base.withColumn("_n", F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("end_ts")))).where("_n <= 10")
+    """Why candidates may not serve the asked windows, counted."""
+    base = _searchable(spark, sf_dir).select("window_id", "instrument", "timeframe", "length", "start_ts", "end_ts", "bar_no")
+    late = _asked(base)
     name = {"id": "window_id", "instrument": "instrument", "start": "start_ts", "end": "end_ts", "length": "length"}
     q, c = late.select("timeframe", *(F.col(v).alias(f"q_{k}") for k, v in name.items())), base.select("timeframe", *(F.col(v).alias(f"c_{k}") for k, v in name.items()))
     reason = validation.eligibility({k: F.col(f"q_{k}") for k in name}, {k: F.col(f"c_{k}") for k in name}, 5, gap_bars=3)
@@ -207,7 +211,7 @@ def eligibility_reasons(spark, sf_dir):
 
 
 def walk_forward_folds(spark, sf_dir):
-    return validation.folds(_h4_windows(spark, sf_dir).where("instrument = 'click'").select("window_id", "end_ts"), "expanding_walk_forward_v1")
+    return validation.folds(_h4_windows(spark, sf_dir).select("window_id", "end_ts"), "expanding_walk_forward_v1")
 
 
 def quality_profile(spark, sf_dir):
@@ -249,40 +253,38 @@ def distance_deciles(spark, sf_dir):
 
 
 def significance(spark, sf_dir):
-    """Adjusted p-values of one test an instrument, from the share of rising outcomes."""
+    """Adjusted p-values of one test an instrument: whether the forecasts' hits differ from chance."""
     e = _evaluations(spark, sf_dir)
-    t = e.groupBy("instrument").agg(F.count("*").alias("n"), F.count_if("up").alias("k")).select(F.col("instrument").alias("test"), F.lit(1).alias("g"), (F.col("k") / F.col("n") / 2).alias("p_value"))
+    hits = e.groupBy("instrument").agg(F.count("*").alias("n"), F.count_if((F.col("p") >= 0.5) == F.col("up")).alias("k"))
+    t = hits.select(F.col("instrument").alias("test"), F.lit(1).alias("g"), validation.z_test(F.col("k"), F.col("n")).alias("p_value"))
     return _r(validation.adjust(t, ["g"]).select("test", "p_value", "p_bh", "p_holm"))
 
 
 def prospective_fallback(spark, sf_dir):
-    """For the last windows of each instrument: the probability from the narrowest history that is large enough, as of their end."""
+    """For every window: the probability from the narrowest history that is large enough, as of its end."""
     history, queries = _prospective_inputs(spark, sf_dir)
     return _r(prospective.fallback(queries, history, least=30))
 
 
-def _prospective_inputs(spark, sf_dir):
-    from pyspark.sql.window import Window
-
+def _prospective_inputs(spark, sf_dir, ask=lambda df: df):
     w = _h4_windows(spark, sf_dir, horizon=5)
-    o = outcomes.outcomes(w, (5,)).select("window_id", "instrument", "end_ts", "horizon", "is_complete", "simple_return", "source_return")
+    o = outcomes.outcomes(w, (5,)).join(w.select("window_id", "bar_no"), "window_id").select("bar_no", "window_id", "instrument", "end_ts", "horizon", "is_complete", "simple_return", "source_return")
     # A context that SQL can state as well: the sign of the window's own move, and whether it was large.
     c = o.withColumn("trend", F.when(F.col("source_return") > 0, "UP").otherwise("DOWN")).withColumn("volatility", F.when(F.abs("source_return") > 0.5, "HIGH").otherwise("LOW"))
-    late = F.row_number().over(Window.partitionBy("instrument").orderBy(F.desc("end_ts")))
-    queries = c.withColumn("_n", late).where("_n <= 12").select("window_id", "instrument", "horizon", "trend", "volatility", F.col("end_ts").alias("as_of"))
+    queries = ask(c).select("window_id", "instrument", "horizon", "trend", "volatility", F.col("end_ts").alias("as_of"))
     return c, queries
 
 
 def forecast_evaluation(spark, sf_dir):
     history, queries = _prospective_inputs(spark, sf_dir)
-    forecasts = prospective.fallback(queries, history, least=30)
+    forecasts = prospective.fallback(queries, history, least=30).where("not insufficient")
     return _r(prospective.evaluate(prospective.mature(forecasts, history), ["horizon"]))
 
 
 def _baseline(name: str):
     def query(spark, sf_dir):
-        """Ten candidates of the last windows of each instrument, by a baseline's rule."""
-        history, queries = _prospective_inputs(spark, sf_dir)
+        """Ten candidates of the asked windows, by a baseline's rule."""
+        history, queries = _prospective_inputs(spark, sf_dir, _asked)
         c = history.where("is_complete").select("horizon", F.concat_ws("@", "instrument", "end_ts").alias("c_id"), F.col("instrument").alias("c_instrument"), F.col("end_ts").alias("c_end"), F.col("trend").alias("c_trend"), F.col("volatility").alias("c_volatility"))
         q = queries.select("horizon", F.concat_ws("@", "instrument", "as_of").alias("q_id"), F.col("instrument").alias("q_instrument"), "as_of", F.col("trend").alias("q_trend"), F.col("volatility").alias("q_volatility"))
         return studies.baseline(q.join(c, "horizon").where("c_end < as_of"), name, 10).select("q_id", "c_id", "rank")
@@ -296,12 +298,16 @@ def loss_summaries(spark, sf_dir):
 
 
 def experiment_verdicts(spark, sf_dir):
-    m = validation.metrics(_evaluations(spark, sf_dir), ["instrument"])
-    return m.select("instrument", "n", studies.experiment_verdict(F.col("n"), F.col("brier_skill_score"), F.col("direction_accuracy"), F.lit(-1.0)).alias("verdict"))
+    e = _evaluations(spark, sf_dir)
+    # The lower end of the 95 % interval of the mean gain over a coin's Brier score.
+    gain = 0.25 - validation.brier(F.col("p"), F.col("up"))
+    low = e.groupBy("instrument").agg((F.avg(gain) - 1.96 * F.stddev_samp(gain) / F.sqrt(F.count("*"))).alias("low"))
+    m = validation.metrics(e, ["instrument"]).join(low, "instrument")
+    return m.select("instrument", "n", studies.experiment_verdict(F.col("n"), F.col("brier_skill_score"), F.col("direction_accuracy"), F.col("low")).alias("verdict"))
 
 
 def run_timing(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 40 = 7")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     return studies.timing(e.select(F.col("ts").alias("at"), F.col("event_type").alias("instrument"), (F.col("value") > 100).alias("new_bar"), (F.col("event_id") % 3 != 0).alias("reachable")))
 
 
@@ -322,15 +328,15 @@ BASELINES = ("random_history_v1", "same_instrument_random_v1", "same_volatility_
 QUERIES |= {f"baseline_{m.removesuffix('_v1')}": _baseline(m) for m in BASELINES}
 
 _RET = "list_transform(range(2, 17), lambda i: ln(c[i] / c[i - 1]))"
-_BARRIER = """CASE WHEN len(fc) = 0 THEN 'UNAVAILABLE' WHEN u{0} IS NULL AND d{0} IS NULL THEN 'NEITHER' WHEN d{0} IS NULL THEN 'UPPER_FIRST' WHEN u{0} IS NULL THEN 'LOWER_FIRST'
-  WHEN u{0} = d{0} THEN 'SAME_BAR_BOTH' WHEN u{0} < d{0} THEN 'UPPER_FIRST' ELSE 'LOWER_FIRST' END"""
+_BARRIER = """CASE WHEN len(fc) = 0 THEN 'UNAVAILABLE' WHEN u{0} IS NULL AND d{0} IS NULL THEN 'NEITHER' WHEN d{0} IS NULL THEN 'UP_FIRST' WHEN u{0} IS NULL THEN 'DOWN_FIRST'
+  WHEN u{0} = d{0} THEN 'SAME_BAR_BOTH' WHEN u{0} < d{0} THEN 'UP_FIRST' ELSE 'DOWN_FIRST' END"""
 _HITS = ", ".join(f"list_position(list_transform(fh, lambda x: x >= c[16] * (1 + {b})), true) AS u{k}, list_position(list_transform(fl, lambda x: x <= c[16] * (1 - {b})), true) AS d{k}" for k, b in ((5, 0.005), (10, 0.01), (20, 0.02)))
 _LABELS = (
     _WIN
     + f""", fut AS (SELECT * EXCLUDE (fc, fh, fl), coalesce(fc, []) AS fc, coalesce(fh, []) AS fh, coalesce(fl, []) AS fl FROM win), hits AS (SELECT *, {_HITS} FROM fut), lab0 AS (
   SELECT instrument, end_ts, len(fc) AS available, len(fc) >= 5 AS is_complete, c, fc, fh, fl, c[16] / c[1] - 1 AS source_return, fc[len(fc)] / c[16] - 1 AS simple_return, ln(fc[len(fc)] / c[16]) AS log_return,
     list_max(fh) / c[16] - 1 AS mfe, list_min(fl) / c[16] - 1 AS mae, list_position(fh, list_max(fh)) AS mfe_bar, list_position(fl, list_min(fl)) AS mae_bar,
-    {_BARRIER.format(5)} AS barrier_5, {_BARRIER.format(10)} AS barrier_10, {_BARRIER.format(20)} AS barrier_20 FROM hits),
+    {_BARRIER.format(5)} AS barrier_5, {_BARRIER.format(10)} AS barrier_10, {_BARRIER.format(20)} AS barrier_20, bar_no, start_ts FROM hits),
 labels_ AS (SELECT *, CASE WHEN simple_return IS NULL THEN 'UNAVAILABLE' WHEN simple_return > 1e-6 THEN 'POSITIVE' WHEN simple_return < -1e-6 THEN 'NEGATIVE' ELSE 'FLAT' END AS direction_class,
     CASE WHEN source_return IS NULL OR abs(source_return) < 1e-6 THEN 'SOURCE_DIRECTION_UNAVAILABLE' WHEN simple_return IS NULL THEN 'UNAVAILABLE' WHEN abs(simple_return) <= 1e-12 THEN 'SIDEWAYS'
       WHEN sign(source_return) = sign(simple_return) THEN 'CONTINUATION' ELSE 'REVERSAL' END AS continuation,
@@ -343,9 +349,11 @@ _PAIRS = f""", norm AS (SELECT instrument, end_ts, start_ts, {_NORMS['anchored_l
 pairs AS (SELECT q.instrument, q.end_ts AS q_end, k.end_ts AS c_end, sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.p[i] - k.p[i]) * (q.p[i] - k.p[i]))) / 64) AS distance
   FROM shape q JOIN shape k ON q.instrument = k.instrument AND k.end_ts < q.end_ts),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY instrument, q_end ORDER BY distance, c_end) AS rank FROM pairs QUALIFY rank <= 10)"""
-_NEAR = _LABELS + _PAIRS + """, near AS (SELECT r.instrument, r.q_end, r.rank, r.distance, r.c_end, o.simple_return AS x FROM ranked r JOIN labels_ o ON o.instrument = r.instrument AND o.end_ts = r.c_end AND o.is_complete)"""
+_SERVES = "AND epoch_us(k.end_ts) + (epoch_us(k.end_ts) - epoch_us(k.start_ts)) / 15.0 * 5 < epoch_us(q.start_ts)"
+_NEAR = _LABELS + _PAIRS.replace("k.end_ts < q.end_ts)", f"k.end_ts < q.end_ts {_SERVES})") + """, near AS (SELECT r.instrument, r.q_end, r.rank, r.distance, r.c_end, o.simple_return AS x FROM ranked r JOIN labels_ o ON o.instrument = r.instrument AND o.end_ts = r.c_end AND o.is_complete)"""
 _EVAL = _NEAR + """, fc_ AS (SELECT instrument, q_end, avg(CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(x) AS predicted, quantile_cont(x, 0.1) AS q10, quantile_cont(x, 0.5) AS q50, quantile_cont(x, 0.9) AS q90 FROM near GROUP BY ALL),
 ev AS (SELECT f.*, o.simple_return AS actual, o.simple_return > 0 AS up FROM fc_ f JOIN labels_ o ON o.instrument = f.instrument AND o.end_ts = f.q_end AND o.is_complete)"""
+_EVAL_ALONE = f"WITH {_EVAL}"
 _HALF = lambda lo, hi: f"sqrt(list_avg(list_transform(r[{lo}:{hi}], lambda x: (x - list_avg(r[{lo}:{hi}])) * (x - list_avg(r[{lo}:{hi}])))))"
 _FEATURE_SQL = {
     "return_mean": "list_avg(r)", "return_std": _STD.format("r"), "positive_return_ratio": "len(list_filter(r, lambda x: x > 0)) / 15.0", "negative_return_ratio": "len(list_filter(r, lambda x: x < 0)) / 15.0",
@@ -370,7 +378,8 @@ ORACLE_SQL = {
       m AS (SELECT *, CAST(coalesce(sum(gap) OVER (PARTITION BY instrument ORDER BY ts ROWS BETWEEN 14 PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS missing_bars FROM g)
       SELECT instrument, timeframe, ts AS end_ts, missing_bars, CASE WHEN missing_bars > 0 THEN 'EXTREME_GAP,MISSING_BARS' ELSE 'NONE' END AS flags FROM m WHERE k >= 16""",
     "outcome_labels": f"""WITH {_LABELS} SELECT instrument, end_ts, CAST(available AS INT) AS available, is_complete, {_R6('simple_return', 'log_return', 'mfe', 'mae')}, CAST(mfe_bar AS BIGINT) AS mfe_bar, CAST(mae_bar AS BIGINT) AS mae_bar,
-      direction_class, continuation, barrier_5, barrier_10, barrier_20, first_barrier FROM labels_""",
+      direction_class, continuation, barrier_5, barrier_10, barrier_20, first_barrier, CASE barrier_10 WHEN 'UP_FIRST' THEN 'GAIN_FIRST' WHEN 'DOWN_FIRST' THEN 'GAIN_AFTER_DRAWDOWN_UNKNOWN' ELSE barrier_10 END AS gain_sequence,
+      CASE barrier_10 WHEN 'UP_FIRST' THEN 'DRAWDOWN_AFTER_GAIN_UNKNOWN' WHEN 'DOWN_FIRST' THEN 'DRAWDOWN_FIRST' ELSE barrier_10 END AS drawdown_sequence FROM labels_""",
     "outcome_summary": f"""WITH {_LABELS} SELECT instrument, direction_class, count(*) AS n, round(avg(simple_return), 6) AS avg_return, round(avg(mfe), 6) AS avg_mfe, round(avg(mae), 6) AS avg_mae FROM labels_ WHERE is_complete GROUP BY ALL""",
     "outcome_paths": f"""WITH {_LABELS}, s AS (SELECT instrument, end_ts, list_transform(range(1, 6), lambda i: ln(fc[i] / CASE WHEN i = 1 THEN c[16] ELSE fc[i - 1] END)) AS r FROM labels_ WHERE is_complete)
       SELECT instrument, end_ts, round(sqrt(list_sum(list_transform(r, lambda x: (x - list_avg(r)) * (x - list_avg(r)))) / 4), 6) AS realized_volatility, round(abs(list_sum(r)) / list_sum(list_transform(r, lambda x: abs(x))), 6) AS path_efficiency FROM s""",
@@ -392,11 +401,11 @@ ORACLE_SQL = {
     "validation_calibration": f"""WITH {_EVAL}, b AS (SELECT *, CAST(least(len(list_filter([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda e: p >= e)), 9) AS INT) AS bin FROM ev),
       t AS (SELECT instrument, bin, count(*) AS n, avg(p) AS confidence, avg(up::INT) AS frequency FROM b GROUP BY ALL), every AS (SELECT instrument, CAST(unnest(range(10)) AS INT) AS bin FROM (SELECT DISTINCT instrument FROM ev))
       SELECT e.instrument, e.bin, coalesce(n, 0) AS n, round(confidence, 6) AS confidence, round(frequency, 6) AS frequency, round(abs(confidence - frequency), 6) AS gap FROM every e LEFT JOIN t ON t.instrument = e.instrument AND t.bin = e.bin""",
-    "eligibility_reasons": f"""WITH {_WIN}, e AS (SELECT instrument, epoch_us(start_ts) / 1e6 AS s, epoch_us(end_ts) / 1e6 AS e FROM win), q AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY e DESC) <= 10),
+    "eligibility_reasons": f"""WITH {_WIN}, e AS (SELECT instrument, bar_no, epoch_us(start_ts) / 1e6 AS s, epoch_us(end_ts) / 1e6 AS e FROM win), q AS (SELECT * FROM e WHERE bar_no % 50 = 0),
       p AS (SELECT q.instrument, q.s AS qs, q.e AS qe, c.s AS cs, c.e AS ce, q.e + (q.e - q.s) / 15 * 5 AS qo, c.e + (c.e - c.s) / 15 * 5 AS co, c.instrument = q.instrument AND c.e = q.e AS same FROM q, e c)
       SELECT instrument, CASE WHEN same THEN 'SAME_QUERY' WHEN ce >= qe THEN 'FUTURE_OR_CONTEMPORARY' WHEN ce > qe - greatest(qe - qs, ce - cs) / 15 * 3 THEN 'EMBARGO_OR_TEMPORAL_DISTANCE' WHEN cs <= qe AND qs <= ce THEN 'SOURCE_OVERLAP'
       WHEN cs <= qo AND qe <= ce THEN 'CANDIDATE_SOURCE_OVERLAPS_QUERY_OUTCOME' WHEN ce <= qe AND qs <= co THEN 'CANDIDATE_OUTCOME_OVERLAPS_QUERY_SOURCE' WHEN ce <= qo AND qe <= co THEN 'OUTCOME_OVERLAP' ELSE 'ELIGIBLE' END AS reason, count(*) AS n FROM p GROUP BY ALL""",
-    "walk_forward_folds": f"""WITH {_WIN}, w AS (SELECT end_ts, row_number() OVER (ORDER BY end_ts) - 1 AS n FROM win WHERE instrument = 'click'), f AS (SELECT unnest([1, 2, 3])::INT AS fold)
+    "walk_forward_folds": f"""WITH {_WIN}, w AS (SELECT end_ts, row_number() OVER (ORDER BY end_ts) - 1 AS n FROM win), f AS (SELECT unnest([1, 2, 3])::INT AS fold)
       SELECT fold, max(CASE WHEN n = 0 THEN end_ts END) AS index_start, max(CASE WHEN n = 4 + (fold - 1) * 3 THEN end_ts END) AS index_end, max(CASE WHEN n = 5 + (fold - 1) * 3 THEN end_ts END) AS test_start, max(CASE WHEN n = 7 + (fold - 1) * 3 THEN end_ts END) AS test_end FROM w, f GROUP BY fold""",
     "row_validation": """WITH r AS (SELECT event_id AS row_no, event_type, CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 89 = 0 THEN date_trunc('hour', ts) ELSE ts END AS ts, value AS o, CASE WHEN event_id % 97 = 0 THEN value - 1 ELSE value + 1 END AS h,
       value - 1 AS l, CASE WHEN event_id % 83 = 0 THEN NULL ELSE value END AS c, CASE WHEN event_id % 79 = 0 THEN -1.0 ELSE 1.0 END AS v FROM events),
@@ -411,11 +420,12 @@ ORACLE_SQL = {
         count(*) FILTER (WHERE delta > 3 * modal_delta) AS large_gaps, count(*) FILTER (WHERE delta > modal_delta) AS gaps FROM d JOIN m ON m.instrument = d.instrument GROUP BY 1, 2)
       SELECT *, invalid_ohlc + non_positive AS hard_errors, CASE WHEN invalid_ohlc + non_positive > 0 AND bars <= invalid_ohlc + non_positive THEN 'REJECTED' WHEN invalid_ohlc + non_positive > 0 THEN 'MANUAL_REVIEW'
         WHEN empty_volume_rate > 0 OR moves_over_20 > 0 OR large_gaps > 0 THEN 'ACCEPTED_WITH_WARNINGS' ELSE 'ACCEPTED' END AS decision FROM p""",
-    "significance": f"""WITH {_EVAL}, t AS (SELECT instrument AS test, count(*) FILTER (WHERE up) / count(*) / 2 AS p_value FROM ev GROUP BY 1), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, test) AS k FROM t)
+    "significance": f"""WITH {_EVAL}, h AS (SELECT instrument AS test, count(*) AS n, count(*) FILTER (WHERE (p >= 0.5) = up) AS k FROM ev GROUP BY 1), z AS (SELECT test, abs(k / n - 0.5) / sqrt(0.25 / n) / sqrt(2) AS z FROM h),
+      t AS (SELECT test, CASE WHEN z = 0 THEN 1.0 ELSE 1 - 2 / sqrt(pi()) * exp(-z * z) * list_sum(list_transform(range(120), lambda i: exp((2 * i + 1) * ln(z) + i * ln(4) + lgamma(i + 1) - lgamma(2 * i + 2)))) END AS p_value FROM z), r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p_value, test) AS k FROM t)
       SELECT test, round(p_value, 6) AS p_value, round(least(min(p_value * m / k) OVER (ORDER BY p_value, test ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0), 6) AS p_bh,
       round(least(max(p_value * (m - k + 1)) OVER (ORDER BY p_value, test ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0), 6) AS p_holm FROM r""",
     "prospective_fallback": f"""WITH {_LABELS}, c AS (SELECT *, CASE WHEN source_return > 0 THEN 'UP' ELSE 'DOWN' END AS trend, CASE WHEN abs(source_return) > 0.5 THEN 'HIGH' ELSE 'LOW' END AS volatility FROM labels_),
-      q AS (SELECT instrument, end_ts AS as_of, trend, volatility FROM c QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY end_ts DESC) <= 12),
+      q AS (SELECT instrument, end_ts AS as_of, trend, volatility FROM c),
       s AS (SELECT q.instrument, q.as_of, q.trend, q.volatility, count(*) FILTER (WHERE h.trend = q.trend AND h.volatility = q.volatility) AS n1, count(*) FILTER (WHERE h.trend = q.trend) AS n2, count(h.end_ts) AS n3,
         count(*) FILTER (WHERE h.trend = q.trend AND h.volatility = q.volatility AND h.simple_return > 0) AS k1, count(*) FILTER (WHERE h.trend = q.trend AND h.simple_return > 0) AS k2, count(*) FILTER (WHERE h.simple_return > 0) AS k3
         FROM q LEFT JOIN c h ON h.instrument = q.instrument AND h.is_complete AND h.end_ts < q.as_of GROUP BY 1, 2, 3, 4)
@@ -431,13 +441,13 @@ ORACLE_SQL = {
       round(scale_ratio, 4) AS scale_ratio, CASE WHEN coalesce(return_correlation, 0) < 0.85 THEN 'REVIEW_REQUIRED' ELSE 'OK' END AS verdict FROM m JOIN t ON t.instrument = m.instrument GROUP BY ALL""",
 }
 ORACLE_SQL["forecast_evaluation"] = f"""WITH f AS ({ORACLE_SQL['prospective_fallback']}), o AS ({ORACLE_SQL['outcome_labels'].replace('simple_return + 0.0, 6', 'simple_return + 0.0, 12')}),
-  m AS (SELECT f.*, o.simple_return > 0 AS up FROM f JOIN o ON o.instrument = f.instrument AND o.end_ts = f.as_of AND o.is_complete)
+  m AS (SELECT f.*, o.simple_return > 0 AS up FROM f JOIN o ON o.instrument = f.instrument AND o.end_ts = f.as_of AND o.is_complete WHERE NOT f.insufficient)
   SELECT horizon, count(*) AS n, round(avg(CAST((p >= 0.5) = up AS INT)), 6) AS accuracy, round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg((baseline - up::INT) * (baseline - up::INT)), 6) AS brier_baseline,
   round(1 - avg((p - up::INT) * (p - up::INT)) / avg((baseline - up::INT) * (baseline - up::INT)), 6) AS skill FROM m GROUP BY horizon""".replace(", 6) AS p,", ", 15) AS p,").replace(", 6) AS baseline", ", 15) AS baseline")
 ORACLE_SQL |= {f"norm_{m}": _norm_sql(e) for m, e in _NORMS.items()}
 
-_BASE = f"""WITH {_LABELS}, c AS (SELECT instrument, end_ts, is_complete, CASE WHEN source_return > 0 THEN 'UP' ELSE 'DOWN' END AS trend, CASE WHEN abs(source_return) > 0.5 THEN 'HIGH' ELSE 'LOW' END AS volatility FROM labels_),
-  q AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY end_ts DESC) <= 12),
+_BASE = f"""WITH {_LABELS}, c AS (SELECT instrument, end_ts, is_complete, bar_no, CASE WHEN source_return > 0 THEN 'UP' ELSE 'DOWN' END AS trend, CASE WHEN abs(source_return) > 0.5 THEN 'HIGH' ELSE 'LOW' END AS volatility FROM labels_),
+  q AS (SELECT * FROM c WHERE bar_no % 50 = 0),
   p AS (SELECT q.instrument || '@' || CAST(q.end_ts AS VARCHAR) AS q_id, h.instrument || '@' || CAST(h.end_ts AS VARCHAR) AS c_id, h.end_ts AS c_end FROM q JOIN c h ON h.is_complete AND h.end_ts < q.end_ts WHERE @)
   SELECT q_id, c_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY #) AS INT) AS rank FROM p QUALIFY rank <= 10"""
 _RULES = {"random_history": "true", "same_instrument_random": "q.instrument = h.instrument", "same_volatility_random": "q.volatility = h.volatility"}
@@ -446,8 +456,9 @@ ORACLE_SQL |= {
     "baseline_unconditional_outcome": _BASE.replace("WHERE @", "WHERE true").replace("#", "c_end, c_id"),
     "loss_summaries": f"""WITH {_EVAL}, m AS (SELECT *, strftime(q_end, '%Y-%m') AS month FROM ev) SELECT instrument, month, CAST(2 * grouping(instrument) + grouping(month) AS BIGINT) AS grouping, count(*) AS n,
       round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg(abs(actual - predicted)), 6) AS mae FROM m GROUP BY GROUPING SETS ((instrument, month), (instrument), (month), ())""",
-    "experiment_verdicts": f"""WITH m AS ({ORACLE_SQL['validation_metrics']}) SELECT instrument, n, CASE WHEN n < 10 THEN 'INSUFFICIENT_DATA' WHEN brier_skill_score <= 0 OR direction_accuracy <= 0.5 THEN 'NO_SUPPORTED_EDGE' ELSE 'PROMISING' END AS verdict FROM m""",
-    "run_timing": """WITH o AS (SELECT ts, event_type AS instrument, value > 100 AS new_bar FROM events WHERE user_id % 40 = 7 AND event_id % 3 <> 0), f AS (SELECT instrument, min(CASE WHEN new_bar THEN strftime(ts, '%H:%M') END) AS e FROM o GROUP BY 1),
+    "experiment_verdicts": f"""WITH m AS ({ORACLE_SQL['validation_metrics']}), g AS ({_EVAL_ALONE} SELECT instrument, avg(0.25 - (p - up::INT) * (p - up::INT)) - 1.96 * stddev_samp(0.25 - (p - up::INT) * (p - up::INT)) / sqrt(count(*)) AS low FROM ev GROUP BY 1)
+      SELECT m.instrument, n, CASE WHEN n < 10 THEN 'INSUFFICIENT_DATA' WHEN brier_skill_score <= 0 OR direction_accuracy <= 0.5 THEN 'NO_SUPPORTED_EDGE' WHEN low > 0 AND n >= 50 THEN 'OUT_OF_SAMPLE_SUPPORTED' ELSE 'PROMISING' END AS verdict FROM m JOIN g ON g.instrument = m.instrument""",
+    "run_timing": """WITH o AS (SELECT ts, event_type AS instrument, value > 100 AS new_bar FROM events WHERE event_id % 3 <> 0), f AS (SELECT instrument, min(CASE WHEN new_bar THEN strftime(ts, '%H:%M') END) AS e FROM o GROUP BY 1),
       d AS (SELECT count(DISTINCT CASE WHEN isodow(ts) <= 5 THEN CAST(ts AS DATE) END) AS weekdays, count(DISTINCT CASE WHEN isodow(ts) > 5 THEN CAST(ts AS DATE) END) AS weekend_days FROM o), s AS (SELECT max(e) AS slowest, count(*) FILTER (WHERE e IS NULL) AS silent, count(*) AS instruments FROM f)
       SELECT weekdays, weekend_days, instruments, silent, CASE WHEN weekdays >= 5 AND silent = 0 AND instruments > 0 THEN lpad(CAST((CAST(slowest[1:2] AS INT) + 2) % 24 AS VARCHAR), 2, '0') || slowest[3:5] END AS safe_time,
       CASE WHEN weekdays >= 5 AND silent = 0 AND instruments > 0 THEN 'SCHEDULER_TIMING_VALIDATED' ELSE 'SCHEDULER_TIMING_NOT_YET_VALIDATED' END AS status FROM d, s""",
