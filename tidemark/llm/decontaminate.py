@@ -5,92 +5,122 @@ the word, the block is two words. SHIFT tells for the block at the end of the se
 missing a pattern; where it says 0 the block's bucket lists the patterns that end in it, their first block is compared,
 then the words themselves.
 
+Words are numbered and a pattern is a place in the benchmark's words, so the tables take about 40 bytes a word; a worker builds
+them once. A benchmark of over MAX_BROADCAST_BYTES is searched in parts of this size: the corpus is then written once with row
+numbers, each part gives the rows that it hits, and these are joined with the rows.
+
 Rows: null or empty text, or text without a word, has no hit and is not contaminated. Repeated documents give one row each.
-Items without a word have no window and never occur; equal windows of several items count for each of them.
-Items without item_id hit like the others and count as one item together, but are not in the list of ids.
+Items without a word have no window and never occur; equal windows of several items count for each of them. Ties do not arise:
+every occurrence counts. Items without item_id hit like the others and count as one item together, but are not in the list of
+ids. Items of one id are one item. Texts of any length are searched whole. An empty benchmark hits nothing, an empty table of
+documents gives no rows. Columns other than doc_id, text and item_id are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .text import alnum_words, map_rows
+from .text import alnum_words, keep_rows, kept, map_rows
 
 WINDOW = 13
-#: Pattern text that goes to the executors at once. A larger benchmark is searched in several passes of this size.
-MAX_BROADCAST_BYTES = 32 << 20
+#: Pattern text that goes to the executors at once.
+MAX_BROADCAST_BYTES = 16 << 20
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 class WuManber:
-    """All occurrences of word patterns that have one length."""
-
-    def __init__(self, patterns: Iterable[tuple[bytes, ...]]):
-        self.patterns = list(dict.fromkeys(patterns))
-        self.m = m = len(self.patterns[0])
-        self.b = b = min(2, m)
-        self.far = m - b + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.bucket: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], int]]] = defaultdict(list)
-        for k, p in enumerate(self.patterns):
-            for end in range(b, m + 1):
-                block = p[end - b : end]
-                self.shift[block] = min(self.shift.get(block, self.far), m - end)
-            self.bucket[p[m - b :]].append((p[:b], k))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, int]]:
-        """(start, pattern number) of every occurrence, by start."""
-        m, b, far, shift, n = self.m, self.b, self.far, self.shift.get, len(words)
+    """All occurrences of the windows of m words that begin at `places` of the numbered words `line`."""
+
+    def __init__(self, line: np.ndarray, places: np.ndarray, m: int):
+        self.line, self.m, self.b = line.tolist(), m, min(2, m)
+        self.far = m - self.b + 1
+        # Every block of every window, by where it ends in the window.
+        ends = np.concatenate([places + end for end in range(self.b, m + 1)])
+        steps = np.repeat(m - np.arange(self.b, m + 1), len(places))
+        codes = self.codes(line)[ends - self.b]
+        order = np.lexsort((steps, codes))
+        codes, steps = codes[order], steps[order]
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        self.blocks, self.shift = codes[first], steps[first]
+        last = self.codes(line)[places + m - self.b]
+        by_last = np.argsort(last, kind="stable")
+        self.patterns = places[by_last].tolist()
+        self.begin, self.stop = (np.searchsorted(last[by_last], self.blocks, side) for side in ("left", "right"))
+
+    def codes(self, line: np.ndarray) -> np.ndarray:
+        """The block at each place but the last one; words that the benchmark lacks give -1."""
+        if self.b == 1:
+            return line
+        return np.where((line[:-1] < 0) | (line[1:] < 0), -1, line[:-1] << 32 | line[1:])
+
+    def search(self, words: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(start, the pattern's place) of every occurrence, by start."""
+        m, b, n = self.m, self.b, len(words)
+        if n < m:
+            return
+        codes = self.codes(words)
+        at = np.minimum(np.searchsorted(self.blocks, codes), len(self.blocks) - 1)
+        known = self.blocks[at] == codes
+        if not (known & (self.shift[at] == 0)).any():
+            return
+        shift, block, own = np.where(known, self.shift[at], self.far).tolist(), at.tolist(), words.tolist()
         end = m
         while end <= n:
-            block = (words[end - 2], words[end - 1]) if b == 2 else (words[end - 1],)
-            step = shift(block, far)
+            step = shift[end - b]
             if step:
                 end += step
                 continue
-            start = end - m
-            first = tuple(words[start : start + b])
-            for prefix, k in self.bucket[block]:
-                if prefix == first and tuple(words[start:end]) == self.patterns[k]:
-                    yield start, k
+            start, k = end - m, block[end - b]
+            first, whole = own[start : start + b], own[start:end]
+            for p in self.patterns[self.begin[k] : self.stop[k]]:
+                if self.line[p : p + b] == first and self.line[p : p + m] == whole:
+                    yield start, p
             end += 1
 
 
-def windows(text: str | None, size: int = WINDOW) -> set[tuple[bytes, ...]]:
-    words = alnum_words(text)
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
 class Matcher:
-    """Wu-Manber tables for each pattern length that occurs."""
+    """Numbers of the benchmark's words, and Wu-Manber tables for each length of window that occurs."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        owners: dict[tuple[bytes, ...], set[str | None]] = defaultdict(set)
+        self.number: dict[bytes, int] = {}
+        line: list[int] = []
+        self.owner: dict[int, str | None] = {}  # by the place at which a window's item begins
+        places = defaultdict(list)
+        self.starts = []
         for item, text in items:
-            for w in windows(text, size):
-                owners[w].add(item)
-        by_length = defaultdict(list)
-        for w in owners:
-            by_length[len(w)].append(w)
-        self.tables = [WuManber(by_length[m]) for m in sorted(by_length)]
-        self.owners = owners
+            words = alnum_words(text)
+            if words:
+                at, m = len(line), min(len(words), size)
+                line += [self.number.setdefault(w, len(self.number)) for w in words]
+                places[m].append(np.arange(at, at + len(words) - m + 1))
+                self.starts.append(at)
+                self.owner[at] = item
+        numbers = np.array(line, dtype=np.int64)
+        self.tables = [WuManber(numbers, np.concatenate(places[m]), m) for m in sorted(places)]
+        self.starts = np.array(self.starts, dtype=np.int64)
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
-        spans, items = [], set()
+        spans, found = [], set()
+        get = self.number.get
+        numbers = np.array([get(w, -1) for w in words], dtype=np.int64)
         for table in self.tables:
-            for start, k in table.search(words):
+            for start, place in table.search(numbers):
                 spans.append((start, start + table.m))
-                items |= self.owners[table.patterns[k]]
-        return spans, items
+                found.add(place)
+        items = self.starts[np.searchsorted(self.starts, sorted(found), "right") - 1].tolist() if found else []
+        return spans, {self.owner[i] for i in items}
 
 
-def _chunks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
+def _parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str | None, str | None]]]:
     part, size = [], 0
     for item, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         if part and size + len(text or "") > limit:
@@ -108,52 +138,97 @@ def covered(n: int, spans: Iterable[tuple[int, int]]) -> int:
     return mask.count(1)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def _verdicts(ids: list, sizes: list[int], hits: list[tuple[list[tuple[int, int]], set[str | None]]]) -> dict[str, list]:
+    n_hit = [covered(n, spans) if spans else 0 for n, (spans, _) in zip(sizes, hits)]
+    named = [",".join(sorted(x for x in items if x is not None)) for _, items in hits]
+    return {
+        "doc_id": ids, "n_words": sizes, "n_hit": n_hit, "n_items": [len(items) for _, items in hits],
+        "items_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in named], "contaminated": [h > 0 and 20 * h >= n for h, n in zip(n_hit, sizes)],
+    }
+
+
+def _matcher(sent: Broadcast, name: str, size: int) -> Matcher:
+    return kept(("benchmark", name, size), lambda: Matcher(sent.value, size))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BROADCAST_BYTES, id_type: str = "long") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    df = docs.select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    carry = "doc_id long, text string, spans array<int>, items array<string>"
-    parts = _chunks(benchmark, max_bytes)
-    part = next(parts)
+    parts = _parts(benchmark, max_bytes)
+    part, following = next(parts), next(parts, None)
+    docs, schema = docs.select("doc_id", "text"), SCHEMA.replace("doc_id long", f"doc_id {id_type}")
+
+    def searched(part):
+        sent, name = spark.sparkContext.broadcast(part), uuid.uuid4().hex
+        return lambda: _matcher(sent, name, size)
+
+    if following is None:
+        matcher = searched(part)
+
+        def start():
+            own = matcher()
+
+            def work(ids, texts):
+                split = [alnum_words(t) for t in texts]
+                return _verdicts(ids, [len(w) for w in split], [own.hits(w) for w in split])
+
+            return work
+
+        return map_rows(docs, schema, start, keeps=True)
+
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")
+    found = []
     while part is not None:
-        following = next(parts, None)
-        sent = spark.sparkContext.broadcast(part)
-        last = following is None
-
-        def start(sent=sent, last=last):
-            matcher = Matcher(sent.value, size)
-
-            def work(ids, texts, spans, items):
-                out = defaultdict(list)
-                for doc, text, old, known in zip(ids, texts, spans, items):
-                    words = alnum_words(text)
-                    found, names = matcher.hits(words)
-                    found += list(zip(old[::2], old[1::2])) if old else []
-                    names |= set(known or ())
-                    out["doc_id"].append(doc)
-                    if not last:
-                        out["text"].append(text)
-                        out["spans"].append([x for s in found for x in s])
-                        out["items"].append(list(names))
-                        continue
-                    hit = covered(len(words), found) if found else 0
-                    out["n_words"].append(len(words))
-                    out["n_hit"].append(hit)
-                    out["n_items"].append(len(names))
-                    out["items_sha256"].append(hashlib.sha256(",".join(sorted(x for x in names if x is not None)).encode()).hexdigest())
-                    out["contaminated"].append(hit > 0 and 20 * hit >= len(words))
-                return out if ids else {k.split()[0]: [] for k in (SCHEMA if last else carry).split(", ")}
+        matcher = searched(part)
+
+        def start(matcher=matcher):
+            own = matcher()
+
+            def work(names, texts):
+                hits = [(n, *own.hits(alnum_words(t))) for n, t in zip(names, texts)]
+                hits = [h for h in hits if h[1]]
+                return {"row": [n for n, *_ in hits], "spans": [[x for s in spans for x in s] for _, spans, _ in hits], "items": [list(items) for *_, items in hits]}
 
             return work
 
-        df = map_rows(df, SCHEMA if last else carry, start)
-        if not last:
-            df = written(df, "decontaminate")
-        part = following
-    return df
+        found.append(written(map_rows(rows.select("row", "text"), "row long, spans array<int>, items array<string>", start, keeps=True), "decontaminate-hits"))
+        part, following = following, next(parts, None)
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    hits = every.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def end():
+        def work(ids, texts, spans, items):
+            pairs = [(list(zip(s[::2], s[1::2])) if s else [], set(i or ())) for s, i in zip(spans, items)]
+            return _verdicts(ids, [len(alnum_words(t)) for t in texts], pairs)
+
+        return work
+
+    return map_rows(rows.join(hits, "row", "left").select("doc_id", "text", "spans", "items"), schema, end)
+
+
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) that aren't contaminated, each judged by its own text.
+
+    A benchmark of one part filters the rows where they are. Beyond that the contaminated texts' digests are joined out.
+    """
+    parts = _parts(benchmark, max_bytes)
+    part, following = next(parts), next(parts, None)
+    if following is None:
+        sent, name = docs.sparkSession.sparkContext.broadcast(part), uuid.uuid4().hex
+
+        def start():
+            own = _matcher(sent, name, size)
+
+            def keep(texts):
+                split = [alnum_words(t) for t in texts]
+                return [not x for x in _verdicts(texts, [len(w) for w in split], [own.hits(w) for w in split])["contaminated"]]
 
+            return keep
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, ...) that aren't contaminated. Rows that share a doc_id go together."""
-    found = written(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct(), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+        return keep_rows(docs, ["text"], start, keeps=True)
+    texts = docs.where("text is not null").select(F.sha2("text", 256).alias("doc_id"), "text")
+    found = decontaminate(texts, benchmark, size, max_bytes, "string")
+    bad = written(found.where("contaminated").select(F.col("doc_id").alias("_text_digest")).distinct(), "contaminated")
+    return docs.withColumn("_text_digest", F.sha2("text", 256)).join(bad, "_text_digest", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -9,7 +9,9 @@ of their text is links. Menus, page headers, footers, sidebars, notices, adverts
 whole class, id or role, never count; but a class does not remove what holds every <article> and <main> of the page or, where there
 are none, more than half of its text.
 
-Rows: null and empty html give an empty text. Repeated rows give one row each.
+Rows: null and empty html give an empty text. Repeated rows give one row each. Of equally dense blocks the outermost and first
+is taken. Pages of any length are read whole, in time that follows their length. An empty table gives no rows. Columns other than
+page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from .text import map_rows
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*\"|'[^']*')|=)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -145,9 +147,11 @@ def _measure(root: Node) -> list[Node]:
             up.link_chars += node.link_chars
             up.link_tags += node.link_tags
             if node.tag in INLINE:
-                up.blocks[:0] = node.blocks
+                up.blocks += node.blocks
             else:
-                up.blocks.insert(0, node)
+                up.blocks.append(node)
+    for node in order:  # they were met from the last to the first
+        node.blocks.reverse()
     return order
 
 

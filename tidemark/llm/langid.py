@@ -9,7 +9,9 @@ Training counts n-grams in a bounded number of labelled documents a language (TR
 summed on the executors; what reaches the driver is PROFILE rows a language. Prediction reads whole texts.
 
 Rows: a text that is null, or has no letter, is ``und`` with score 0. Ties go to the first language in order. If nothing is
-labelled every row is ``und``. The score is 1 - distance / largest possible distance. Repeated rows give one row each.
+labelled every row is ``und``. The score is 1 - distance / largest possible distance. Repeated rows give one row each and count
+each in training. Rows without doc_id are not held out. Texts of any length are read whole. An empty table gives no rows. Columns
+other than doc_id, text and lang are not read.
 """
 
 from __future__ import annotations
@@ -97,7 +99,7 @@ def held_out(of: int, rest: int) -> F.Column:
 def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG, size: int = PROFILE) -> list[tuple[str, int, int]]:
     """Profiles from docs (doc_id, text, lang), the held-out part left aside."""
     spark = docs.sparkSession
-    known = docs.where(~held_out(HOLD_OUT_OF, HOLD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = docs.select("doc_id", "text", "lang").where(~held_out(HOLD_OUT_OF, HOLD_OUT) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = known.groupBy("lang").count()
     picked = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 20)) < F.ceil(F.lit(per_lang << 20) / F.col("count"))
 

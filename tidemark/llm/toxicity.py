@@ -6,10 +6,13 @@ only documents carry labels; gradients through the noisy-or let the labels settl
 and compounded), chosen on the training labels by their smoothed log-odds.
 
 Training takes a bounded number of labelled documents (TRAIN_DOCS, by a hash of doc_id) outside the held-out third; its word
-counts are summed on the executors, at most FEATURES of them and the sample's few features a sentence reach the driver.
+counts are summed on the executors, at most FEATURES of them (a parameter, the size of the model) and the sample's few features
+a sentence reach the driver.
 
 Rows: null and empty texts are one sentence without features. Without labels of both kinds every score is 0 (below 1e-300). Repeated rows
-give one row each; a document with several labels counts as toxic if any of them is 1.
+give one row each; a document with several labels counts as toxic if any of them is 1. Rows without doc_id have no label and are
+not held out. Features of equal worth are taken in order of their letters. Texts of any length are scored whole. An empty table
+gives no rows. Columns other than doc_id, text and toxic are not read.
 """
 
 from __future__ import annotations
@@ -80,8 +83,18 @@ class NoisyOr:
         return [1 / (1 + np.exp(-float(self.bias + sum(self.weights[k] for k in s)))) for s in bags(text, self.known)]
 
     def score(self, text: str | None) -> float:
-        logit = np.array([self.bias + sum(self.weights[k] for k in s) for s in bags(text, self.known)])
-        return float(-np.expm1(-np.logaddexp(0, logit).sum()))
+        return self.scores([text])[0]
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """Of many texts in one pass over their sentences' features."""
+        found = [bags(t, self.known) for t in texts]
+        sentences = [s for d in found for s in d]
+        owner = np.repeat(np.arange(len(found)), list(map(len, found)))
+        place = np.repeat(np.arange(len(sentences)), list(map(len, sentences)))
+        features = np.fromiter((k for s in sentences for k in s), dtype=np.int64, count=len(place))
+        logit = self.bias + np.bincount(place, np.asarray(self.weights)[features] if len(features) else None, minlength=len(sentences))
+        none = np.bincount(owner, np.logaddexp(0, logit), minlength=len(found))
+        return (-np.expm1(-none)).tolist()
 
 
 def fit(data: list[tuple[int, dict[tuple[int, ...], int]]], n: int, rounds: int = 600, rate: float = 0.1, l2: float = 1e-6) -> tuple[np.ndarray, float]:
@@ -160,7 +173,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame | None, model: NoisyOr | N
         own = NoisyOr(*sent.value)
 
         def work(ids, texts, held):
-            scores = [own.score(t) for t in texts]
+            scores = own.scores(texts)
             return {"doc_id": ids, "held_out": held, "score": scores, "predicted": [int(s >= TOXIC_AT) for s in scores]}
 
         return work
@@ -175,7 +188,7 @@ def keep_civil(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def start():
         own = NoisyOr(*sent.value)
-        return lambda texts: [own.score(t) < TOXIC_AT for t in texts]
+        return lambda texts: [s < TOXIC_AT for s in own.scores(texts)]
 
     return keep_rows(docs, ["text"], start)
 
