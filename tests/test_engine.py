@@ -48,7 +48,7 @@ def test_gaps_are_flagged_on_a_continuous_calendar_only(spark):
 @pytest.mark.parametrize("chunk", [1, 7, 10, 100])
 def test_series_in_chunks_give_the_same_windows(spark, chunk):
     bars = make_bars(spark, range(100, 140), skip=(11, 20, 21)).union(make_bars(spark, range(50, 75)).withColumn("instrument", F.lit("Y"))).repartition(3)
-    whole = windows.sliding_windows(bars, (4, 8), 3, 2, seconds=3600)
+    whole = windows.sliding_windows(bars, (4, 8), 3, 2, seconds=3600, chunk=None)
     dealt = windows.sliding_windows(bars, (4, 8), 3, 2, seconds=3600, chunk=chunk)
     assert sorted(map(str, whole.collect())) == sorted(map(str, dealt.select(*whole.columns).collect()))
 

@@ -10,7 +10,7 @@ def test_streamed_bars_equal_batch_bars(spark, tmp_path):
     ticks = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts")
     ticks.write.parquet(str(tmp_path / "ticks"))
     live = S.stream_bars(spark.readStream.schema(ticks.schema).parquet(str(tmp_path / "ticks")), "event_type", "ts", "value", "event_id")
-    S.append_stream(live, str(tmp_path / "bars"), ["instrument", "ts"]).start().awaitTermination(120)
+    S.append_stream(live, str(tmp_path / "bars"), ["instrument", "ts"], str(tmp_path / "check")).start().awaitTermination(120)
     got = {(r.instrument, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in spark.read.parquet(str(tmp_path / "bars")).collect()}
     batch = {(r.instrument, r.ts): (r.open, r.high, r.low, r.close, r.volume) for r in B.event_bars(spark, SF).select("*", F.col("ts").cast("timestamp").alias("t")).drop("ts").withColumnRenamed("t", "ts").collect()}
     assert got and all(batch[k] == v for k, v in got.items())

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import similarity, validation
 from .validation import brier, draw
 
 #: Dimensions that two windows must share, by the name of the context definition.
@@ -51,6 +54,29 @@ def baseline(pairs: DataFrame, name: str, k: int, seed: str = "1") -> DataFrame:
     return draw(kept.withColumn("baseline", F.lit(name)), ["q_id", "baseline"], seed, k)
 
 
+def walk_forward_run(windows: DataFrame, labels: DataFrame, plan: DataFrame, methods: tuple[str, ...], horizons: tuple[int, ...], ks: tuple[int, ...], same_instrument: bool = True) -> DataFrame:
+    """Metrics by fold, method, horizon and k of forecasts whose candidates were all over before their query began.
+
+    windows: window_id, instrument, timeframe, length, start_ts, end_ts and what the methods compare. labels: window_id, horizon,
+    simple_return, mfe, mae, continuation, complete ones only. plan: validation.folds(). A query is a window that ends in a fold's
+    test interval; its candidates end in the fold's index interval and must be eligible for the horizon.
+    """
+    # The folds are a few rows.
+    tests = windows.join(F.broadcast(plan), windows["end_ts"].between(plan["test_start"], plan["test_end"])).withColumn("until", F.col("index_end"))
+    found = []
+    for method in methods:
+        for h in horizons:
+            near = similarity.search(tests, windows, method, max(ks), same_instrument=same_instrument, serves=lambda q, c, h=h: validation.eligibility(q, c, h).isNull())
+            known = near.join(labels.where(F.col("horizon") == h).withColumnRenamed("window_id", "c_id"), "c_id")
+            found.append(known.withColumn("method", F.lit(method)))
+    near = reduce(DataFrame.unionByName, found).withColumn("k", F.explode(F.array(*map(F.lit, ks)))).where(F.col("rank") <= F.col("k"))
+    keys = ["fold", "method", "horizon", "k"]
+    forecasts = validation.forecast(near.withColumn("weight", validation.weights("uniform_v1", [*keys, "q_id"])), [*keys, "q_id"])
+    actual = labels.select(F.col("window_id").alias("q_id"), "horizon", F.col("simple_return").alias("actual"))
+    evaluated = forecasts.join(actual, ["q_id", "horizon"]).select(*keys, "q_id", F.col("positive").alias("p"), (F.col("actual") > 0).alias("up"), "actual", F.col("mean_return").alias("predicted"), "q10", F.col("median_return").alias("q50"), "q90")
+    return validation.metrics(evaluated, keys)
+
+
 def skill(evaluations: DataFrame, keys: list[str], against: str) -> DataFrame:
     """Brier skill of each method against the method `against` within keys: 1 - b / b0. evaluations: method, p, up."""
     b = evaluations.groupBy(*keys, "method").agg(F.avg(brier(F.col("p"), F.col("up"))).alias("brier"), F.count("*").alias("n"))

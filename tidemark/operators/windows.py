@@ -46,13 +46,13 @@ def _gap(seconds: Column, keys: tuple[str, ...]) -> Column:
     return F.greatest(F.floor(step / (F.lit(1_000_000).cast("long") * seconds)) - 1, F.lit(0).cast("long"))
 
 
-def sliding_windows(bars: DataFrame, lengths: tuple[int, ...] = (16,), stride: int = 1, horizon: int = 0, calendar: str = "continuous", seconds: int = 14400, gap_ratio: float = 0.0, chunk: int | None = None) -> DataFrame:
+def sliding_windows(bars: DataFrame, lengths: tuple[int, ...] = (16,), stride: int = 1, horizon: int = 0, calendar: str = "continuous", seconds: int = 14400, gap_ratio: float = 0.0, chunk: int | None = 4096) -> DataFrame:
     """Every window of the given lengths, with its bars as an array, and with horizon the bars behind it as `future`.
 
     One sort serves all lengths: a frame of the longest is cut to each shorter one. A window sees its own bars only. Flags:
     UNKNOWN_CALENDAR, NULL_VOLUME, ZERO_VOLUME, INVALID_OHLC, and on a continuous calendar MISSING_BARS and EXTREME_GAP; NONE
     without any. The source hash depends on the window's bars alone. chunk: the bars of a series that one task takes (see
-    spread_series); without it a series is one task.
+    spread_series), so that a long series is many tasks; None makes a series one task.
     """
     lengths = tuple(sorted(set(lengths)))
     keys = (*SERIES, "chunk") if chunk else SERIES

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from ..operators import context, diagnostics, features, normalize, outcomes, prospective, similarity, studies, validation, windows
+from ..operators import context, diagnostics, features, normalize, outcomes, prospective, relational, similarity, studies, validation, windows
 from ..sources import bars as B
 from ..sources import providers
 
@@ -200,6 +202,17 @@ def validation_calibration(spark, sf_dir):
     return _r(validation.calibration(_evaluations(spark, sf_dir), ["instrument"]))
 
 
+def validation_run(spark, sf_dir):
+    """Walk-forward folds over two fifths and more of the windows, two horizons and two sizes of neighbourhood."""
+    base = _searchable(spark, sf_dir)
+    labels = outcomes.outcomes(base.select("window_id", *SERIES, "length", "end_ts", "bars", "future"), (1, 5)).where("is_complete").select("window_id", "horizon", "simple_return", "mfe", "mae", "continuation")
+    light = base.select("window_id", *SERIES, "length", "start_ts", "end_ts", "path")
+    n = light.count()
+    plan = validation.folds(light, "expanding_walk_forward_v1", 3, n * 2 // 5, n // 5)
+    got = studies.walk_forward_run(light, labels, plan, ("shape_euclidean_v1",), (1, 5), (5, 10))
+    return _r(got.select("fold", "method", "horizon", "k", "n", "brier_score", "mae", "direction_accuracy", "brier_skill_score"))
+
+
 def eligibility_reasons(spark, sf_dir):
     """Why candidates may not serve the asked windows, counted."""
     base = _searchable(spark, sf_dir).select("window_id", "instrument", "timeframe", "length", "start_ts", "end_ts", "bar_no")
@@ -322,7 +335,77 @@ def provider_payloads(spark, sf_dir):
     return _r(got.select("instrument", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume"))
 
 
-_PICK = ["loss_summaries", "experiment_verdicts", "run_timing", "provider_payloads", "bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
+def evenly_spaced_bars(spark, sf_dir):
+    return relational.spaced(B.order_bars(spark, sf_dir).select(*SERIES, "ts"), ["instrument"], ["ts"], 7)
+
+
+def chronological_parts(spark, sf_dir):
+    cut = relational.parts(B.order_bars(spark, sf_dir), ["instrument"], ["ts"])
+    return cut.groupBy("instrument", "part").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+def even_chunks(spark, sf_dir):
+    cut = relational.split_evenly(B.order_bars(spark, sf_dir), ["instrument"], ["ts"], 7)
+    return cut.groupBy("instrument", "chunk").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
+
+
+def bars_page(spark, sf_dir):
+    return _r(relational.page(B.event_bars(spark, sf_dir), ["ts", "instrument"], 3, 50))
+
+
+def bars_in_range(spark, sf_dir):
+    chosen = relational.matching(B.event_bars(spark, sf_dir), {"timeframe": "H4", "instrument": None}, {"volume": 3.0})
+    return _r(relational.in_range(chosen, "ts", dt.datetime(2024, 1, 3), dt.datetime(2024, 1, 20)))
+
+
+def latest_bars(spark, sf_dir):
+    return _r(relational.latest(B.event_bars(spark, sf_dir), list(SERIES), ["ts"]))
+
+
+def customers_of_all_priorities(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return relational.divide(orders, ["o_custkey"], "o_orderpriority", orders)
+
+
+def customer_universes(spark, sf_dir):
+    side = lambda t, c: spark.read.parquet(f"{sf_dir}/{t}.parquet").select(F.col(c).alias("custkey"))
+    return relational.same_universe(side("customer", "c_custkey"), side("orders", "o_custkey"), ["custkey"])
+
+
+def contained_spans(spark, sf_dir):
+    """Spans of users' events of a type that lie within the span of a user divisible by 50."""
+    spans = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type", "user_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    return relational.contained(spans, spans.where("user_id % 50 = 0"), ["event_type"])
+
+
+def direction_counts(spark, sf_dir):
+    got = relational.counts_map(outcomes.outcomes(_h4_windows(spark, sf_dir, horizon=5), (5,)), ["instrument"], "direction_class")
+    return got.select("instrument", F.to_json("counts").alias("counts"))
+
+
+def outcome_completeness(spark, sf_dir):
+    got = outcomes.outcomes(_h4_windows(spark, sf_dir, horizon=20), (1, 5, 20))
+    return _r(relational.complete_rate(got, ["instrument"]))
+
+
+def strict_confusion(spark, sf_dir):
+    return _r(relational.strict_confusion(_evaluations(spark, sf_dir), ["instrument"]))
+
+
+def calibration_intervals(spark, sf_dir):
+    return _r(relational.calibration_interval(_evaluations(spark, sf_dir), ["instrument"]))
+
+
+def instrument_warnings(spark, sf_dir):
+    """Source warnings of instruments derived from the orders' priorities."""
+    i = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderpriority").distinct()
+    p = F.col("o_orderpriority")
+    provider = F.when(p.startswith("1"), "yahoo_finance_v1").when(p.startswith("5"), "csv").otherwise("alpha_vantage_v1")
+    codes = relational.source_warnings(provider, F.when(p.startswith("2"), "Forex").otherwise("index"), F.when(p.startswith("3"), "GC=F").otherwise(p), F.when(p.startswith("1"), "provider_adjusted").otherwise("none"))
+    return i.select("o_orderpriority", F.concat_ws(",", codes).alias("warnings"))
+
+
+_PICK = ["validation_run", "evenly_spaced_bars", "chronological_parts", "even_chunks", "bars_page", "bars_in_range", "latest_bars", "customers_of_all_priorities", "customer_universes", "contained_spans", "direction_counts", "outcome_completeness", "strict_confusion", "calibration_intervals", "instrument_warnings", "loss_summaries", "experiment_verdicts", "run_timing", "provider_payloads", "bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
 QUERIES = {name: globals()[name] for name in _PICK} | {f"norm_{m}": _norm(m) for m in normalize.METHODS}
 BASELINES = ("random_history_v1", "same_instrument_random_v1", "same_volatility_random_v1", "unconditional_outcome_v1")
 QUERIES |= {f"baseline_{m.removesuffix('_v1')}": _baseline(m) for m in BASELINES}
@@ -445,6 +528,39 @@ ORACLE_SQL["forecast_evaluation"] = f"""WITH f AS ({ORACLE_SQL['prospective_fall
   SELECT horizon, count(*) AS n, round(avg(CAST((p >= 0.5) = up AS INT)), 6) AS accuracy, round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg((baseline - up::INT) * (baseline - up::INT)), 6) AS brier_baseline,
   round(1 - avg((p - up::INT) * (p - up::INT)) / avg((baseline - up::INT) * (baseline - up::INT)), 6) AS skill FROM m GROUP BY horizon""".replace(", 6) AS p,", ", 15) AS p,").replace(", 6) AS baseline", ", 15) AS baseline")
 ORACLE_SQL |= {f"norm_{m}": _norm_sql(e) for m, e in _NORMS.items()}
+ORACLE_SQL["validation_run"] = f"""WITH {_LABELS}{_PAIRS.split(', pairs AS')[0]}, e AS (SELECT list(end_ts ORDER BY end_ts) AS e, count(*) AS n FROM shape), f AS (SELECT *, unnest([1, 2, 3])::INT AS fold FROM e),
+      g AS (SELECT fold, e[n * 2 // 5 + (fold - 1) * (n // 5)] AS until, e[n * 2 // 5 + (fold - 1) * (n // 5) + 1] AS a, e[least(n * 2 // 5 + fold * (n // 5), n)] AS z FROM f),
+      q AS (SELECT s.*, g.fold, g.until, unnest([1, 5])::INT AS horizon FROM shape s JOIN g ON s.end_ts BETWEEN g.a AND g.z),
+      m AS (SELECT q.fold, q.horizon, q.instrument, q.end_ts AS q_end, k.end_ts AS c_end, row_number() OVER (PARTITION BY q.fold, q.horizon, q.instrument, q.end_ts ORDER BY sqrt(list_sum(list_transform(range(1, 65), lambda i: (q.p[i] - k.p[i]) * (q.p[i] - k.p[i]))) / 64), k.end_ts) AS rank
+        FROM q JOIN shape k ON k.instrument = q.instrument AND k.end_ts <= q.until AND epoch_us(k.end_ts) + (epoch_us(k.end_ts) - epoch_us(k.start_ts)) / 15.0 * q.horizon < epoch_us(q.start_ts)),
+      r AS (SELECT instrument, end_ts, unnest([1, 5])::INT AS horizon, unnest([fc[1], fc[5]]) / c[16] - 1 AS x FROM labels_), v AS (SELECT *, unnest([5, 10])::INT AS k FROM m),
+      t AS (SELECT v.fold, v.horizon, v.k, v.instrument, v.q_end, avg(CASE WHEN o.x > 0 THEN 1.0 ELSE 0.0 END) AS p, avg(o.x) AS predicted FROM v JOIN r o ON o.instrument = v.instrument AND o.end_ts = v.c_end AND o.horizon = v.horizon AND o.x IS NOT NULL WHERE v.rank <= v.k GROUP BY ALL)
+      SELECT t.fold, 'shape_euclidean_v1' AS method, t.horizon, t.k, count(*) AS n, round(avg((p - (o.x > 0)::INT) * (p - (o.x > 0)::INT)), 6) AS brier_score, round(avg(abs(o.x - predicted)), 6) AS mae, round(avg(((p >= 0.5) = (o.x > 0))::INT), 6) AS direction_accuracy,
+      round(1 - avg((p - (o.x > 0)::INT) * (p - (o.x > 0)::INT)) / 0.25, 6) AS brier_skill_score FROM t JOIN r o ON o.instrument = t.instrument AND o.end_ts = t.q_end AND o.horizon = t.horizon AND o.x IS NOT NULL GROUP BY ALL"""
+_PLACED = f"WITH {_D1}, n AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY instrument) AS m, ntile(7) OVER w AS chunk FROM bars WINDOW w AS (PARTITION BY instrument ORDER BY ts))"
+_TS = "ts::TIMESTAMP"
+ORACLE_SQL |= {
+    "evenly_spaced_bars": f"{_PLACED} SELECT instrument, timeframe, {_TS} AS ts FROM n WHERE m <= 7 OR list_contains(list_transform(range(7), lambda k: CAST(floor(k * (m - 1) / 6) AS BIGINT)), i)",
+    "chronological_parts": f"{_PLACED} SELECT instrument, CASE WHEN i / m < 0.6 THEN 1 WHEN i / m < 0.8 THEN 2 ELSE 3 END AS part, count(*) AS n, min({_TS}) AS first_ts, max({_TS}) AS last_ts FROM n GROUP BY 1, 2",
+    "even_chunks": f"{_PLACED} SELECT instrument, CAST(chunk AS INT) AS chunk, count(*) AS n, max({_TS}) AS last_ts FROM n GROUP BY 1, 2",
+    "bars_page": f"WITH {_BARS} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars ORDER BY ts, instrument LIMIT 50 OFFSET 150",
+    "bars_in_range": f"WITH {_BARS} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars WHERE volume >= 3 AND ts BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20'",
+    "latest_bars": f"WITH {_BARS} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY ts DESC) = 1",
+    "customers_of_all_priorities": "SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)",
+    "customer_universes": """WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k)
+      SELECT count(*) FILTER (WHERE y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS "both", count(*) FILTER (WHERE x IS NULL OR y IS NULL) = 0 AS equal FROM j""",
+    "contained_spans": """WITH s AS (SELECT event_type, user_id, min(ts) AS start_ts, max(ts) AS end_ts FROM events GROUP BY 1, 2)
+      SELECT * FROM s i WHERE EXISTS (SELECT 1 FROM s o WHERE o.user_id % 50 = 0 AND o.event_type = i.event_type AND o.start_ts <= i.start_ts AND o.end_ts >= i.end_ts)""",
+    "direction_counts": f"""WITH {_LABELS}, t AS (SELECT instrument, direction_class AS k, count(*) AS n FROM labels_ GROUP BY ALL) SELECT instrument, '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' AS counts FROM t GROUP BY 1""",
+    "outcome_completeness": f"""WITH {_WIN}, m AS (SELECT instrument, bar_no, max(bar_no) OVER (PARTITION BY instrument) AS last FROM win), h AS (SELECT *, unnest([1, 5, 20]) AS h FROM m)
+      SELECT instrument, count(*) FILTER (WHERE bar_no + h <= last) AS complete, count(DISTINCT bar_no) AS windows, CAST(3 AS BIGINT) AS horizons, round(count(*) FILTER (WHERE bar_no + h <= last) / count(*), 6) AS complete_rate FROM h GROUP BY 1""",
+    "strict_confusion": f"""WITH {_EVAL}, c AS (SELECT instrument, CAST(count(*) FILTER (WHERE p >= 0.5 AND up) AS DOUBLE) AS tp, CAST(count(*) FILTER (WHERE p < 0.5 AND NOT up) AS DOUBLE) AS tn, CAST(count(*) FILTER (WHERE p >= 0.5 AND NOT up) AS DOUBLE) AS fp, CAST(count(*) FILTER (WHERE p < 0.5 AND up) AS DOUBLE) AS fn FROM ev GROUP BY 1)
+      SELECT *, round(tp / nullif(tp + fn, 0), 6) AS sensitivity, round(tn / nullif(tn + fp, 0), 6) AS specificity, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy, round((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6) AS matthews FROM c""",
+    "calibration_intervals": f"""WITH {_EVAL}, t AS (SELECT instrument, CAST(least(floor(p * 10), 9) AS INT) AS bin, count(*) AS n, avg(p) AS confidence, avg(up::INT) AS frequency FROM ev GROUP BY 1, 2)
+      SELECT instrument, bin, n, round(confidence, 6) AS confidence, round(frequency, 6) AS frequency, round(greatest(frequency - 1.96 * sqrt(frequency * (1 - frequency) / n), 0) + 0.0, 6) AS low, round(least(frequency + 1.96 * sqrt(frequency * (1 - frequency) / n), 1), 6) AS high FROM t""",
+    "instrument_warnings": """SELECT DISTINCT o_orderpriority, CASE o_orderpriority[1] WHEN '1' THEN 'PROVIDER_DATA_RESEARCH_ONLY,POSSIBLE_RETROACTIVE_PROVIDER_REVISION,PRICE_ADJUSTMENT_PROVIDER_CONTROLLED,CRYPTO_SINGLE_VENUE_OR_AGGREGATED_SOURCE'
+      WHEN '2' THEN 'PROVIDER_DATA_RESEARCH_ONLY,FOREX_VOLUME_UNAVAILABLE,CRYPTO_SINGLE_VENUE_OR_AGGREGATED_SOURCE' WHEN '3' THEN 'PROVIDER_DATA_RESEARCH_ONLY,FUTURES_CONTINUOUS_CONTRACT_UNVERIFIED' WHEN '4' THEN 'PROVIDER_DATA_RESEARCH_ONLY,CRYPTO_SINGLE_VENUE_OR_AGGREGATED_SOURCE' ELSE '' END AS warnings FROM orders""",
+}
 
 _BASE = f"""WITH {_LABELS}, c AS (SELECT instrument, end_ts, is_complete, bar_no, CASE WHEN source_return > 0 THEN 'UP' ELSE 'DOWN' END AS trend, CASE WHEN abs(source_return) > 0.5 THEN 'HIGH' ELSE 'LOW' END AS volatility FROM labels_),
   q AS (SELECT * FROM c WHERE bar_no % 50 = 0),

@@ -8,9 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_path
-
-
 def stream_bars(ticks: DataFrame, instrument: str, ts: str, price: str, order: str, length: str = "4 hours", late: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Bars of a tick stream; a bar is given once the watermark has passed its end, later ticks are dropped."""
     at = F.struct(F.col("_ts"), F.col(order))
@@ -42,8 +39,11 @@ def rolling_windows(bars: DataFrame, length: int) -> DataFrame:
     return bars.groupBy("instrument").applyInPandasWithState(step, "instrument string, start_ts timestamp, end_ts timestamp, closes array<double>", "ts array<timestamp>, closes array<double>", "append", "NoTimeout")
 
 
-def append_stream(df: DataFrame, path: str, key: list[str]):
-    """A stream into Parquet in which each key stands once, however often a batch is run again."""
+def append_stream(df: DataFrame, path: str, key: list[str], checkpoint: str):
+    """A stream into Parquet in which each key stands once, however often a batch is run again.
+
+    checkpoint: a folder that outlives the run, so that a restarted stream goes on where it stopped.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -54,4 +54,4 @@ def append_stream(df: DataFrame, path: str, key: list[str]):
             new = new.join(spark.read.parquet(path).select(*key), key, "left_anti")
         new.write.mode("append").parquet(path)
 
-    return df.writeStream.foreachBatch(write).option("checkpointLocation", shared_path(df.sparkSession, "stream")).trigger(availableNow=True)
+    return df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
