@@ -2,9 +2,11 @@
 
 A pre-token (a match of the pattern) that is itself in the vocabulary is found by a minimal perfect hash: one bucket of
 displacements and one comparison. All other pre-tokens are merged from their bytes, which are linked to their neighbours, with
-a heap that yields the pair of lowest rank, leftmost first. Both tiers fill a bounded memo of pre-tokens.
+a heap that yields the pair of lowest rank, leftmost first. Both tiers fill a bounded memo of pieces.
 
-Rows: null and empty texts have no ids, and decode to no bytes. Repeated rows give one row each.
+Rows: null and empty texts have no ids, and decode to no bytes; a null doc_id stays null. Repeated rows give one row each. Pairs
+of one rank are merged from the left. Texts of any length are encoded whole. An empty table gives no rows. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -13,18 +15,18 @@ import base64
 import hashlib
 from array import array
 from collections import defaultdict
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from .chunks import ChunkEncoder
-from .text import map_rows, utf8
+from .chunks import ChunkEncoder, Ragged, ragged
+from .text import kept, map_rows, utf8
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _MASK = (1 << 64) - 1
@@ -82,7 +84,7 @@ class BytePairCodec:
         self.hash = PerfectHash(list(ranks))
         self.slot_id = [array("I", [ranks[k]]) for k in self.hash.keys]
         self.vocabulary = {v: k for k, v in ranks.items()}
-        self.encoder = ChunkEncoder(self.split, lambda tokens: list(map(self._token, tokens)))
+        self.encoder = ChunkEncoder(self._ask)
 
     def merge(self, piece: bytes) -> array:
         """The ids of a pre-token that is not in the vocabulary."""
@@ -115,6 +117,24 @@ class BytePairCodec:
         slot = self.hash.get(raw)
         return self.slot_id[slot] if slot >= 0 else self.merge(raw)
 
+    def _ask(self, units: pa.Array) -> Ragged:
+        """The ids of pieces: letters, with a space before them or not, are one pre-token; other pieces are split by the pattern."""
+        body = pc.if_else(pc.starts_with(units, " "), pc.utf8_slice_codeunits(units, 1), units)
+        known: dict[str, array] = {}
+        rows = []
+        for unit, plain in zip(units.to_pylist(), pc.utf8_is_alpha(body).to_pylist()):
+            if plain:
+                rows.append(self._token(unit))
+                continue
+            row = array("I")
+            for token in self.split(unit):
+                ids = known.get(token)
+                if ids is None:
+                    ids = known[token] = self._token(token)
+                row.extend(ids)
+            rows.append(row)
+        return ragged(rows)
+
     def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers."""
         ids, offsets = self.encoder.encode(texts)
@@ -128,9 +148,8 @@ class BytePairCodec:
         return b"".join(map(self.vocabulary.__getitem__, np.frombuffer(packed, dtype="<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> BytePairCodec:
-    return BytePairCodec(load_ranks(path), pattern)
+    return kept(("bpe", path, pattern), lambda: BytePairCodec(load_ranks(path), pattern))
 
 
 def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep_ids: bool = False) -> DataFrame:
@@ -151,4 +170,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, pattern: str = publi
 
         return work
 
-    return map_rows(docs.select("doc_id", "text"), SCHEMA + ", ids binary" * keep_ids, start, arrow=True)
+    return map_rows(docs.select("doc_id", "text"), SCHEMA + ", ids binary" * keep_ids, start, arrow=True, keeps=True)
