@@ -259,7 +259,7 @@ def test_provider_payloads(spark):
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in ("events", "orders", "embeddings"):
+    for t in ("events", "orders", "embeddings", "customer"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)

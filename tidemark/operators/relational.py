@@ -80,7 +80,7 @@ def same_universe(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     side = lambda df, name: df.select(*columns).distinct().withColumn(name, F.lit(1))
     both = side(a, "_a").unionByName(side(b, "_b"), allowMissingColumns=True).groupBy(*columns).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
     only = lambda x, y: F.count_if(F.col(x).isNotNull() & F.col(y).isNull())
-    out = both.agg(only("_a", "_b").alias("only_a"), only("_b", "_a").alias("only_b"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"))
+    out = both.agg(only("_a", "_b").alias("only_a"), only("_b", "_a").alias("only_b"), F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("in_both"))
     return out.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 

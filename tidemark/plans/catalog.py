@@ -548,7 +548,7 @@ ORACLE_SQL |= {
     "latest_bars": f"WITH {_BARS} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY ts DESC) = 1",
     "customers_of_all_priorities": "SELECT o_custkey FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT count(DISTINCT o_orderpriority) FROM orders)",
     "customer_universes": """WITH a AS (SELECT DISTINCT c_custkey AS k FROM customer), b AS (SELECT DISTINCT o_custkey AS k FROM orders), j AS (SELECT a.k AS x, b.k AS y FROM a FULL JOIN b ON a.k = b.k)
-      SELECT count(*) FILTER (WHERE y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS "both", count(*) FILTER (WHERE x IS NULL OR y IS NULL) = 0 AS equal FROM j""",
+      SELECT count(*) FILTER (WHERE y IS NULL) AS only_a, count(*) FILTER (WHERE x IS NULL) AS only_b, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL) AS in_both, count(*) FILTER (WHERE x IS NULL OR y IS NULL) = 0 AS equal FROM j""",
     "contained_spans": """WITH s AS (SELECT event_type, user_id, min(ts) AS start_ts, max(ts) AS end_ts FROM events GROUP BY 1, 2)
       SELECT * FROM s i WHERE EXISTS (SELECT 1 FROM s o WHERE o.user_id % 50 = 0 AND o.event_type = i.event_type AND o.start_ts <= i.start_ts AND o.end_ts >= i.end_ts)""",
     "direction_counts": f"""WITH {_LABELS}, t AS (SELECT instrument, direction_class AS k, count(*) AS n FROM labels_ GROUP BY ALL) SELECT instrument, '{{' || string_agg('"' || k || '":' || n, ',' ORDER BY k) || '}}' AS counts FROM t GROUP BY 1""",
