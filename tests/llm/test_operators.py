@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import decontaminate, html_text, langid, license_scan, lm_score, quality, toxicity
@@ -250,11 +251,19 @@ def test_pages_equal_their_articles(spark):
 def test_lm_gradient_and_distribution():
     r = np.random.default_rng(1)
     p = {k: v.astype(np.float64) for k, v in lm_score.split_parameters(lm_score.first_parameters()).items()}
-    context = r.integers(0, lm_score.VOCAB, (1, 4))
-    every = lm_score.log_probs(p, np.arange(lm_score.VOCAB), np.repeat(context, lm_score.VOCAB, axis=0))
+    context = r.integers(0, lm_score.VOCAB, (4, 1))
+    every = lm_score.log_probs(p, np.arange(lm_score.VOCAB), np.repeat(context, lm_score.VOCAB, axis=1))
     assert np.exp(every).sum() == pytest.approx(1)
-    targets, context = r.integers(0, 50, 300), r.integers(0, 50, (300, 4))
+    targets, context = r.integers(0, 50, 300), r.integers(0, 50, (4, 300))
     before = lm_score.log_probs(p, targets, context).mean()
+    # AdaGrad's first step is the sign of the gradient; the sums of squares hold its size.
+    grad2 = {k: np.zeros_like(v) for k, v in p.items()}
+    lm_score.train_step({k: v.copy() for k, v in p.items()}, grad2, targets, context)
+    for name, at in (("embed", (targets[0], 3)), ("place", (1, 2)), ("bias", (5,)), ("cls", (1, 4)), ("cls_bias", (0,)), ("out", (targets[1], 1)), ("out_bias", (targets[2],))):
+        moved = {k: v.copy() for k, v in p.items()}
+        moved[name][at] += 1e-5
+        slope = (lm_score.log_probs(moved, targets, context).mean() - before) / 1e-5
+        assert np.sqrt(grad2[name][at]) == pytest.approx(abs(slope), rel=1e-3, abs=1e-9), name
     grad2 = {k: np.zeros_like(v) for k, v in p.items()}
     for _ in range(40):
         lm_score.train_step(p, grad2, targets, context)
@@ -269,28 +278,63 @@ def test_lm_prefers_order(spark):
     got = {r.doc_id: r for r in lm_score.score_text(docs(spark, texts + shuffled + [None, ""])).collect()}
     assert got[420].n_tokens == 0 and got[420].log_prob == 0 and got[421].score is None
     assert min(got[i].score for i in range(400)) > max(got[i].score for i in range(400, 420))
-    one = lm_score._windows([np.array([7, 8]), np.array([9])])
-    assert one[0].tolist() == [7, 8, 9] and one[1].tolist() == [[0, 0, 8, 0], [0, 7, 0, 0], [0, 0, 0, 0]]
+    one = lm_score.windows([np.array([7, 8], np.uint16), np.array([9], np.uint16)])
+    assert one[0].tolist() == [7, 8, 9] and one[1].T.tolist() == [[0, 0, 8, 0], [0, 7, 0, 0], [0, 0, 0, 0]]
 
 
 def test_lm_trains_on_every_row(spark):
-    first = lm_score.first_parameters()
     for doc_id in [*range(8), None]:
         df = spark.createDataFrame([(doc_id, "one two three " * 20)], "doc_id long, text string")
-        assert not np.array_equal(lm_score.train_round(df, [b"one", b"two", b"three"], first), first), doc_id
+        assert not np.array_equal(lm_score.fit(df).flat, lm_score.first_parameters()), doc_id
+
+
+def test_lm_equals_brute_force_whatever_the_partitions(spark, monkeypatch):
+    """Scores by a plain reading of the definition, in one thread, with the averages over shards."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(lm_score, "KNOWN", lm_score.WORDS + 300)
+    r = random.Random(5)
+    texts = [" ".join(f"Wö{int(r.paretovariate(0.4)) % 5000}" for _ in range(r.randrange(60))) for _ in range(120)] + [None, "", "lone", "lone", "x-y, Z"]
+    rows = [r.sample(list(enumerate(texts)), len(texts)), list(enumerate(texts))]
+    got = [{x.doc_id: x for x in lm_score.score_text(spark.createDataFrame(g, "doc_id long, text string").repartition(n)).collect()} for g, n in zip(rows, (1, 7))]
+    assert all(got[0][d].log_prob == pytest.approx(got[1][d].log_prob, rel=1e-6) for d in range(len(texts)))
+    counts = {}
+    for t in texts:
+        for w in alnum_words(t):
+            counts[w] = counts.get(w, 0) + 1
+    order = sorted(counts, key=lambda w: (-counts[w], w))[: lm_score.WORDS]
+    token = {w: 1 + lm_score.BUCKETS + k for k, w in enumerate(order)}
+    bucket = lambda w: 1 + lm_score.word_key(w) % lm_score.BUCKETS
+    totals = {}
+    for w, n in counts.items():
+        if w not in token:
+            totals[bucket(w)] = totals.get(bucket(w), 0) + n
+    model = lm_score.fit(spark.createDataFrame(rows[1], "doc_id long, text string"))
+    p = {k: v.astype(np.float64) for k, v in lm_score.split_parameters(model.flat).items()}
+    for doc, text in enumerate(texts):
+        words, want = alnum_words(text), 0.0
+        ids = [token.get(w) or bucket(w) for w in words]
+        line = [0, 0, *ids, 0, 0]
+        for k, (w, i) in enumerate(zip(words, ids)):
+            around = [line[k], line[k + 1], line[k + 3], line[k + 4]]
+            hidden = sum(p["embed"][a] * p["place"][j] for j, a in enumerate(around)) + p["bias"]
+            c, o = divmod(i, lm_score.CLASS_SIZE)
+            for logits, at in ((p["cls"] @ hidden + p["cls_bias"], c), (p["out"][c * lm_score.CLASS_SIZE :][: lm_score.CLASS_SIZE] @ hidden + p["out_bias"][c * lm_score.CLASS_SIZE :][: lm_score.CLASS_SIZE], o)):
+                want += logits[at] - np.log(np.exp(logits).sum())
+            if w not in token:
+                want += np.log(counts[w] / totals[bucket(w)])
+        assert got[0][doc].n_tokens == len(words) and got[0][doc].log_prob == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
 def test_lm_tells_rare_words_apart(spark):
-    known = lm_score.VOCAB - 1 - lm_score.BUCKETS
-    common = " ".join(f"w{k}" for k in range(known))
-    bucket = lambda w: zlib.crc32(w.encode()) % lm_score.BUCKETS
+    common = " ".join(f"w{k}" for k in range(lm_score.WORDS))
+    bucket = lambda w: lm_score.word_key(w.encode()) % lm_score.BUCKETS
     a, b = [w for k in range(9999) if bucket(w := f"junk{k}") == 0][:2]
     got = {r.doc_id: r for r in lm_score.score_text(docs(spark, [common] * 4 + [a, b, a, a])).collect()}
     # One word without neighbours each: a makes 3 of the bucket's 4.
     assert len(got) == 8 and got[4].log_prob == got[6].log_prob
     assert got[4].log_prob - got[5].log_prob == pytest.approx(np.log(3))
     key = spark.createDataFrame([(bytearray("Aé日".encode()),)], "w binary").selectExpr("xxhash64(w) AS k").first().k
-    assert lm_score.word_key("Aé日".encode()) == key
+    assert lm_score.word_key("Aé日".encode()) == key == lm_score.word_keys(pa.array(["Aé日".encode()]))[0]
 
 
 # --- toxicity
