@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,12 +117,9 @@ _NORMS = {
     "anchored_ohlc": "list_transform(c, lambda x: x / c[1] - 1)",
 }
 
-FEATURES_CHECKED = ["return_mean", "return_std", "positive_return_ratio", "negative_return_ratio", "momentum_first_half", "momentum_second_half", "maximum_positive_return", "maximum_negative_return", "return_median", "normalized_atr", "body_to_range_mean", "bullish_candle_ratio", "bearish_candle_ratio", "inside_bar_ratio", "outside_bar_ratio", "close_location_value_mean", "upper_wick_ratio_mean", "lower_wick_ratio_mean", "relative_volume_mean", "volume_expansion_ratio", "high_volume_location", "normalized_endpoint_return", "volatility_first_half", "volatility_second_half"]
-
-
 def window_features(spark, sf_dir):
     """All windows with the features that plain SQL can state."""
-    return _r(features.features(_h4_windows(spark, sf_dir)).select("instrument", "end_ts", *FEATURES_CHECKED))
+    return _r(features.features(_h4_windows(spark, sf_dir)).select("instrument", "end_ts", *_FEATURE_SQL))
 
 
 def market_features(spark, sf_dir):
@@ -151,6 +149,22 @@ def analogues(spark, sf_dir):
     return _r(got.join(ends, "q_id").select("instrument", "q_end", "rank", "c_end", "distance"))
 
 
+def analogue_methods(spark, sf_dir):
+    """The three nearest earlier windows of the asked ones by seven methods, over the features that SQL states and a context of two dimensions."""
+    base = _searchable(spark, sf_dir)
+    described = features.features(_h4_windows(spark, sf_dir)).select("window_id", F.array(*(F.col(n) if n in _FEATURE_SQL else F.lit(None).cast("double") for n in features.NAMES)).alias("vec"))
+    last = F.element_at("path", -1)
+    known = {"trend": F.when(last > 0, "UP").otherwise("DOWN"), "volatility": F.when(F.abs(last) > 0.5, "HIGH").otherwise("LOW")}
+    context_ = F.struct(*(known.get(d, F.lit("ANY")).alias(d) for d in similarity.COMPARED))
+    df = base.join(described, "window_id").select("window_id", *SERIES, "length", "end_ts", "bar_no", "path", "vec", context_.alias("context"))
+    ends = base.select(F.col("window_id").alias("q_id"), "instrument", F.col("end_ts").alias("q_end"))
+    found = [similarity.search(_asked(df), df, m, 3, same_instrument=True).withColumn("method", F.lit(m)) for m in _METHODS_CHECKED]
+    return _r(reduce(DataFrame.unionByName, found).join(ends, "q_id").select("method", "instrument", "q_end", "rank", "c_end", "distance"))
+
+
+_METHODS_CHECKED = ("shape_correlation_v1", "dna_cosine_v1", "dna_robust_cosine_v1", "dna_robust_euclidean_v1", "dna_group_balanced_v1", "market_analogue_v1", "shape_dna_context_v2")
+
+
 def analogues_blend(spark, sf_dir):
     """Shape, features and context together, episodes capped."""
     described = context.classify(features.features(_h4_windows(spark, sf_dir, lengths=(16, 64)))).where(F.col("length") == LENGTH)
@@ -405,7 +419,7 @@ def instrument_warnings(spark, sf_dir):
     return i.select("o_orderpriority", F.concat_ws(",", codes).alias("warnings"))
 
 
-_PICK = ["validation_run", "evenly_spaced_bars", "chronological_parts", "even_chunks", "bars_page", "bars_in_range", "latest_bars", "customers_of_all_priorities", "customer_universes", "contained_spans", "direction_counts", "outcome_completeness", "strict_confusion", "calibration_intervals", "instrument_warnings", "loss_summaries", "experiment_verdicts", "run_timing", "provider_payloads", "bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
+_PICK = ["analogue_methods", "validation_run", "evenly_spaced_bars", "chronological_parts", "even_chunks", "bars_page", "bars_in_range", "latest_bars", "customers_of_all_priorities", "customer_universes", "contained_spans", "direction_counts", "outcome_completeness", "strict_confusion", "calibration_intervals", "instrument_warnings", "loss_summaries", "experiment_verdicts", "run_timing", "provider_payloads", "bars_h4", "bars_d1", "window_counts", "window_flags", "outcome_labels", "outcome_summary", "outcome_paths", "window_features", "market_features", "market_context", "context_families", "analogues", "analogues_blend", "embedding_neighbours", "neighbour_forecast", "validation_metrics", "validation_calibration", "eligibility_reasons", "walk_forward_folds", "quality_profile", "row_validation", "provider_comparison", "feature_availability", "feature_distribution", "feature_redundancy", "distance_deciles", "significance", "prospective_fallback", "forecast_evaluation"]
 QUERIES = {name: globals()[name] for name in _PICK} | {f"norm_{m}": _norm(m) for m in normalize.METHODS}
 BASELINES = ("random_history_v1", "same_instrument_random_v1", "same_volatility_random_v1", "unconditional_outcome_v1")
 QUERIES |= {f"baseline_{m.removesuffix('_v1')}": _baseline(m) for m in BASELINES}
@@ -438,6 +452,9 @@ _EVAL = _NEAR + """, fc_ AS (SELECT instrument, q_end, avg(CASE WHEN x > 0 THEN
 ev AS (SELECT f.*, o.simple_return AS actual, o.simple_return > 0 AS up FROM fc_ f JOIN labels_ o ON o.instrument = f.instrument AND o.end_ts = f.q_end AND o.is_complete)"""
 _EVAL_ALONE = f"WITH {_EVAL}"
 _HALF = lambda lo, hi: f"sqrt(list_avg(list_transform(r[{lo}:{hi}], lambda x: (x - list_avg(r[{lo}:{hi}])) * (x - list_avg(r[{lo}:{hi}])))))"
+_CORR = lambda a, b: f"(list_avg(list_transform(range(1, len({a}) + 1), lambda i: {a}[i] * {b}[i])) - list_avg({a}) * list_avg({b})) / ({_STD.format(a)} * {_STD.format(b)})"
+_XX = "list_sum(list_transform(range(1, 65), lambda i: ((i - 1) / 63 - 0.5) * ((i - 1) / 63 - 0.5)))"
+_ALIKE = lambda m: f"list_sum(list_transform(range(1, {65 - m}), lambda i: len(list_filter(range(i + 1, {66 - m}), lambda j: {' AND '.join(f'abs(p[i + {k}] - p[j + {k}]) <= radius' for k in range(m))}))))"
 _FEATURE_SQL = {
     "return_mean": "list_avg(r)", "return_std": _STD.format("r"), "positive_return_ratio": "len(list_filter(r, lambda x: x > 0)) / 15.0", "negative_return_ratio": "len(list_filter(r, lambda x: x < 0)) / 15.0",
     "momentum_first_half": "list_sum(r[1:7])", "momentum_second_half": "list_sum(r[8:15])", "maximum_positive_return": "list_max(r)", "maximum_negative_return": "list_min(r)", "return_median": "list_median(r)",
@@ -450,6 +467,23 @@ _FEATURE_SQL = {
     "lower_wick_ratio_mean": "CASE WHEN flat THEN NULL ELSE list_avg(list_transform(range(1, 17), lambda i: (least(o[i], c[i]) - l[i]) / (h[i] - l[i]))) END",
     "relative_volume_mean": "CAST(1 AS DOUBLE)", "volume_expansion_ratio": "list_avg(v[9:16]) / list_avg(v[1:8])", "high_volume_location": "(list_position(v, list_max(v)) - 1) / 15.0", "normalized_endpoint_return": "ln(c[16] / c[1])",
     "volatility_first_half": _HALF(1, 7), "volatility_second_half": _HALF(8, 15),
+    "momentum_acceleration": "list_sum(r[8:15]) - list_sum(r[1:7])", "volatility_expansion_ratio": f"{_HALF(8, 15)} / {_HALF(1, 7)}", "realized_volatility": "sd",
+    "lag_1_autocorrelation": _CORR("r[1:14]", "r[2:15]"), "lag_2_autocorrelation": _CORR("r[1:13]", "r[3:15]"), "ar_1_coefficient": _CORR("r[1:14]", "r[2:15]"),
+    "return_skewness": "list_avg(list_transform(r, lambda x: (x - list_avg(r)) ** 3)) / sd ** 3", "return_kurtosis": "list_avg(list_transform(r, lambda x: (x - list_avg(r)) ** 4)) / sd ** 4",
+    "return_mad": "list_median(list_transform(r, lambda x: abs(x - list_median(r))))", "downside_volatility": f"coalesce({_STD.format('neg')}, 0)", "upside_volatility": f"coalesce({_STD.format('pos')}, 0)",
+    "volatility_asymmetry": f"coalesce({_STD.format('pos')}, 0) - coalesce({_STD.format('neg')}, 0)", "upper_tail_ratio": "list_aggregate(r, 'quantile_cont', 0.95) / sd", "lower_tail_ratio": "abs(list_aggregate(r, 'quantile_cont', 0.05)) / sd",
+    "variance_ratio_2": f"pow({_STD.format('s2')}, 2) / (2 * sd * sd)", "variance_ratio_4": f"pow({_STD.format('s4')}, 2) / (4 * sd * sd)",
+    "path_displacement": "abs(p[64] - p[1])", "path_length": "list_sum(list_transform(d, lambda x: abs(x)))", "path_efficiency_ratio": "abs(p[64] - p[1]) / list_sum(list_transform(d, lambda x: abs(x)))",
+    "maximum_drawdown_normalized": "list_max(list_transform(range(1, 65), lambda i: list_max(p[1:i]) - p[i]))", "maximum_runup_normalized": "list_max(list_transform(range(1, 65), lambda i: p[i] - list_min(p[1:i])))",
+    "endpoint_position_in_range": "(p[64] - list_min(p)) / (list_max(p) - list_min(p))", "linear_regression_slope": "slope", "lsma_slope": "slope", "linear_regression_intercept": "list_avg(p) - slope / 2", "lsma_endpoint": "list_avg(p) + slope / 2",
+    "linear_regression_r_squared": f"slope * slope * {_XX} / list_sum(list_transform(p, lambda x: (x - list_avg(p)) * (x - list_avg(p))))",
+    "linear_regression_residual_std": f"sqrt((list_sum(list_transform(p, lambda x: (x - list_avg(p)) * (x - list_avg(p)))) - slope * slope * {_XX}) / 64)",
+    "trend_direction_consistency": "abs(list_avg(list_transform(d, lambda x: sign(x))))", "range_expansion_ratio": "(list_max(p[33:64]) - list_min(p[33:64])) / (list_max(p[1:32]) - list_min(p[1:32]))",
+    "turning_point_count": "CAST(len(list_filter(range(2, len(moves) + 1), lambda i: moves[i] <> moves[i - 1])) AS DOUBLE)", "turning_point_density": "len(list_filter(range(2, len(moves) + 1), lambda i: moves[i] <> moves[i - 1])) / 62",
+    "permutation_entropy": "-list_sum(list_transform(list_distinct(orders), lambda o: len(list_filter(orders, lambda x: x = o)) / 62 * ln(len(list_filter(orders, lambda x: x = o)) / 62))) / ln(6)",
+    "sample_entropy": f"-ln({_ALIKE(3)} / {_ALIKE(2)})", "body_to_range_std": f"CASE WHEN flat THEN NULL ELSE {_STD.format('body')} END",
+    "volume_coefficient_of_variation": f"{_STD.format('v')} / list_avg(v)", "volume_trend_slope": "list_sum(list_transform(range(1, 17), lambda i: ((i - 1) / 15 - 0.5) * v[i])) / list_avg(v) / list_sum(list_transform(range(1, 17), lambda i: ((i - 1) / 15 - 0.5) * ((i - 1) / 15 - 0.5)))",
+    "volume_absolute_return_correlation": _CORR("v[2:16]", "a"),
 }
 ORACLE_SQL = {
     "bars_h4": f"WITH {_BARS} SELECT instrument, timeframe, ts, {_R6('open', 'high', 'low', 'close', 'volume')} FROM bars",
@@ -466,7 +500,12 @@ ORACLE_SQL = {
     "outcome_summary": f"""WITH {_LABELS} SELECT instrument, direction_class, count(*) AS n, round(avg(simple_return), 6) AS avg_return, round(avg(mfe), 6) AS avg_mfe, round(avg(mae), 6) AS avg_mae FROM labels_ WHERE is_complete GROUP BY ALL""",
     "outcome_paths": f"""WITH {_LABELS}, s AS (SELECT instrument, end_ts, list_transform(range(1, 6), lambda i: ln(fc[i] / CASE WHEN i = 1 THEN c[16] ELSE fc[i - 1] END)) AS r FROM labels_ WHERE is_complete)
       SELECT instrument, end_ts, round(sqrt(list_sum(list_transform(r, lambda x: (x - list_avg(r)) * (x - list_avg(r)))) / 4), 6) AS realized_volatility, round(abs(list_sum(r)) / list_sum(list_transform(r, lambda x: abs(x))), 6) AS path_efficiency FROM s""",
-    "window_features": f"""WITH {_WIN}, w AS (SELECT *, {_RET} AS r, len(list_filter(range(1, 17), lambda i: h[i] - l[i] <= 0)) > 0 AS flat FROM win)
+    "window_features": f"""WITH {_WIN}, w0 AS (SELECT *, {_RET} AS r, {_NORMS['anchored_log_return']} AS n, len(list_filter(range(1, 17), lambda i: h[i] - l[i] <= 0)) > 0 AS flat FROM win),
+      w1 AS (SELECT *, {_PATH} AS p, {_STD.format('r')} AS sd, list_transform(r, lambda x: abs(x)) AS a, list_filter(r, lambda x: x < 0) AS neg, list_filter(r, lambda x: x > 0) AS pos, list_transform(range(1, 17), lambda i: abs(c[i] - o[i]) / (h[i] - l[i])) AS body,
+        list_transform(range(1, 15), lambda i: r[i] + r[i + 1]) AS s2, list_transform(range(1, 13), lambda i: r[i] + r[i + 1] + r[i + 2] + r[i + 3]) AS s4 FROM w0),
+      w2 AS (SELECT *, list_transform(range(1, 64), lambda i: p[i + 1] - p[i]) AS d, 0.2 * {_STD.format('p')} AS radius, list_sum(list_transform(range(1, 65), lambda i: ((i - 1) / 63 - 0.5) * p[i])) / {_XX} AS slope,
+        list_transform(range(1, 63), lambda i: CAST(p[i] <= p[i + 1] AS INT) * 4 + CAST(p[i + 1] <= p[i + 2] AS INT) * 2 + CAST(p[i] <= p[i + 2] AS INT)) AS orders FROM w1),
+      w AS (SELECT *, list_transform(list_filter(d, lambda x: abs(x) > 1e-12), lambda x: sign(x)) AS moves FROM w2)
       SELECT instrument, end_ts, {', '.join(f'round({e} + 0.0, 6) AS {n}' for n, e in _FEATURE_SQL.items())} FROM w""",
     "analogues": f"WITH {_WIN}{_PAIRS} SELECT instrument, q_end, CAST(rank AS INT) AS rank, c_end, round(distance, 6) AS distance FROM ranked WHERE rank <= 3",
     "embedding_neighbours": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), p AS (SELECT q.vec_id AS q_id, c.vec_id AS c_id, round(1 - list_cosine_similarity(q.e, c.e), 6) AS distance
@@ -528,6 +567,21 @@ ORACLE_SQL["forecast_evaluation"] = f"""WITH f AS ({ORACLE_SQL['prospective_fall
   SELECT horizon, count(*) AS n, round(avg(CAST((p >= 0.5) = up AS INT)), 6) AS accuracy, round(avg((p - up::INT) * (p - up::INT)), 6) AS brier, round(avg((baseline - up::INT) * (baseline - up::INT)), 6) AS brier_baseline,
   round(1 - avg((p - up::INT) * (p - up::INT)) / avg((baseline - up::INT) * (baseline - up::INT)), 6) AS skill FROM m GROUP BY horizon""".replace(", 6) AS p,", ", 15) AS p,").replace(", 6) AS baseline", ", 15) AS baseline")
 ORACLE_SQL |= {f"norm_{m}": _norm_sql(e) for m, e in _NORMS.items()}
+_FEATURES_OF = ORACLE_SQL["window_features"].rpartition("SELECT instrument, end_ts,")[0]
+_COSINE = lambda a, b, w="1.0": f"(1 - list_sum(list_transform(j, lambda i: {a}[i] * {b}[i] * {w} * {w})) / (sqrt(list_sum(list_transform(j, lambda i: {a}[i] * {a}[i] * {w} * {w}))) * sqrt(list_sum(list_transform(j, lambda i: {b}[i] * {b}[i] * {w} * {w})))))"
+_SHAPE = "sqrt(list_avg(list_transform(range(1, 65), lambda i: (qp[i] - kp[i]) * (qp[i] - kp[i]))))"
+_DISTANCES = {
+    "shape_correlation_v1": f"1 - {_CORR('qp', 'kp')}", "dna_cosine_v1": _COSINE("qx", "kx"), "dna_robust_cosine_v1": f"{_COSINE('qy', 'ky')} + 1 - share",
+    "dna_robust_euclidean_v1": "sqrt(list_avg(list_transform(j, lambda i: (qy[i] - ky[i]) * (qy[i] - ky[i])))) + 1 - share", "dna_group_balanced_v1": f"{_COSINE('qy', 'ky', 'w[i]')} + 1 - share",
+    "market_analogue_v1": f"0.45 * {_SHAPE} + 0.45 * {_COSINE('qx', 'kx')} + 0.10 * away", "shape_dna_context_v2": f"0.34 * {_SHAPE} + 0.33 * ({_COSINE('qy', 'ky')} + 1 - share) + 0.33 * away",
+}
+ORACLE_SQL["analogue_methods"] = f"""{_FEATURES_OF.rstrip()}, vec AS (SELECT instrument, end_ts, bar_no, p, [{', '.join(f'CAST({_FEATURE_SQL.get(n, "NULL")} AS DOUBLE)' for n in features.NAMES)}] AS x FROM w),
+  both_ AS (SELECT *, list_transform(x, lambda e: sign(e) * ln(1 + abs(e))) AS y FROM vec),
+  pair AS (SELECT q.instrument, q.end_ts AS q_end, k.end_ts AS c_end, q.p AS qp, k.p AS kp, q.x AS qx, k.x AS kx, q.y AS qy, k.y AS ky, list_filter(range(1, 76), lambda i: q.x[i] IS NOT NULL AND k.x[i] IS NOT NULL) AS j,
+    1 - (5 + CAST((q.p[64] > 0) = (k.p[64] > 0) AS INT) + CAST((abs(q.p[64]) > 0.5) = (abs(k.p[64]) > 0.5) AS INT)) / 7 AS away FROM both_ q JOIN both_ k ON k.instrument = q.instrument AND k.end_ts < q.end_ts WHERE q.bar_no % 50 = 0),
+  weighed AS (SELECT *, len(j) / 75 AS share, list_transform(range(1, 76), lambda i: 1.0 / greatest(len(list_filter(j, lambda t: (g)[t] = (g)[i])), 1)) AS w FROM pair, (SELECT [{', '.join(f"'{features.GROUP_OF[n]}'" for n in features.NAMES)}] AS g)),
+  scored AS ({' UNION ALL '.join(f"SELECT '{m}' AS method, instrument, q_end, c_end, {e} AS distance FROM weighed" for m, e in _DISTANCES.items())})
+  SELECT method, instrument, q_end, CAST(row_number() OVER (PARTITION BY method, instrument, q_end ORDER BY distance, c_end) AS INT) AS rank, c_end, round(distance, 6) AS distance FROM scored QUALIFY rank <= 3"""
 ORACLE_SQL["validation_run"] = f"""WITH {_LABELS}{_PAIRS.split(', pairs AS')[0]}, e AS (SELECT list(end_ts ORDER BY end_ts) AS e, count(*) AS n FROM shape), f AS (SELECT *, unnest([1, 2, 3])::INT AS fold FROM e),
       g AS (SELECT fold, e[n * 2 // 5 + (fold - 1) * (n // 5)] AS until, e[n * 2 // 5 + (fold - 1) * (n // 5) + 1] AS a, e[least(n * 2 // 5 + fold * (n // 5), n)] AS z FROM f),
       q AS (SELECT s.*, g.fold, g.until, unnest([1, 5])::INT AS horizon FROM shape s JOIN g ON s.end_ts BETWEEN g.a AND g.z),
