@@ -58,8 +58,8 @@ LIST_ROWS, STAR = 2000, 8
 BLOCK_BYTES, PARTNERS = 8 << 20, 500
 #: DivideSkip's cost ratio; lists of at most PROBED entries are always merged; with more entries than HEAP_ROWS by counting.
 MU, PROBED, HEAP_ROWS = 0.0085, 256, 256
-#: Parts of a hub's edges.
-HUB_PARTS = 8
+#: Parts of a hub's edges, and of a class's rows.
+HUB_PARTS = 16
 #: A column beside those of the documents.
 KEY = "_jaccard_key"
 #: Odd multipliers of a shingle's words, which are 64-bit hashes already.
@@ -774,8 +774,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     labelled = written(_label(found), "jaccard-result")
     first = labelled.groupBy("root").agg(F.min(F.struct("rep", "key")).alias("first"))
     several = labelled.where("more > 0 or rows > 1").join(first, "root").select(F.col("key").alias(KEY), F.when(F.col("key") == F.col("first.key"), F.col("rep")).alias("stays"))
-    rows = found.rows.where("doc_id is not null").select("doc_id", F.col("key").alias(KEY))
-    verdict = rows.join(several, KEY).groupBy("doc_id", KEY).agg((F.first("stays").eqNullSafe(F.col("doc_id"))).alias("_stays"), F.count("*").alias("_times"))
+    # Copies of one text are many rows of one key, so the join is by parts of a key.
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(HUB_PARTS)).alias("_part")
+    rows = found.rows.where("doc_id is not null").select("doc_id", F.col("key").alias(KEY), part)
+    several = several.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HUB_PARTS - 1).cast("long"))))
+    verdict = rows.join(several, [KEY, "_part"]).groupBy("doc_id", KEY).agg((F.first("stays").eqNullSafe(F.col("doc_id"))).alias("_stays"), F.count("*").alias("_times"))
     verdict = written(verdict, "jaccard-verdict")
     goes = Sieve(verdict.where("not _stays or _times > 1").select("doc_id"), "doc_id")
     schema = StructType([*docs.schema.fields, StructField(KEY, LongType())])
