@@ -82,9 +82,9 @@ ORACLE_SQL: dict[str, str] = {
       s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
       f AS (SELECT doc_id, unnest(s) AS x FROM s), n AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), '|')) AS k FROM s),
       p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-      l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+      l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), k AS (SELECT a, count(*) AS k FROM e GROUP BY 1),
       r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
-      SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(root) AS component_id, CASE WHEN n.n > 0 THEN min(n.doc_id) OVER (PARTITION BY n.k) END AS class_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id, n.n, n.k""",
+      SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(root) AS component_id, CASE WHEN n.n > 0 THEN min(n.doc_id) OVER (PARTITION BY n.k) END AS class_id, coalesce(any_value(k.k), 0) AS n_links FROM n JOIN r ON r.doc_id = n.doc_id LEFT JOIN k ON k.a = n.doc_id GROUP BY n.doc_id, n.n, n.k""",
     "op3_decontaminate": rf"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents), i AS (SELECT item_id, {_ALNUM} AS w FROM benchmark),
       v AS (SELECT DISTINCT item_id, least(len(w), 13) AS m, unnest(CASE WHEN len(w) < 13 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 11), lambda k: array_to_string(w[k:k + 12], ' ')) END) AS s FROM i WHERE len(w) > 0),
       p AS (SELECT doc_id, m, w, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM v) WHERE len(w) >= m), t AS (SELECT doc_id, m, k, array_to_string(w[k:k + m - 1], ' ') AS s FROM p),
